@@ -1,0 +1,51 @@
+"""General knowledge added to the labelled sentences: words of abuse, and frames that use, report or disarm them.
+
+Each frame is filled with words of its list; ``{i}`` an insult, ``{t}`` a thing,
+``{s}`` a word of abuse of any kind, ``{g}`` a group of people.
+"""
+
+# Plain word lists, by language.
+INSULTS = {
+    "en": "idiot moron imbecile bastard loser scumbag jackass dumbass asshole clown parasite cretin halfwit dimwit fool bitch prick jerk twat wanker pig trash scum dickhead piece of garbage piece of shit",
+    "de": "Arschloch Trottel Vollidiot Idiot Schwachkopf Depp Wichser Dummkopf Penner Mistkerl Versager",
+    "fr": "abruti enfoiré ordure connard imbécile crétin salaud débile idiot bouffon",
+    "es": "imbécil cabrón idiota gilipollas estúpido pendejo inútil desgraciado tonto mamón",
+    "pt": "idiota imbecil otário desgraçado burro babaca canalha cretino palhaço inútil",
+}
+GROUPS = "foreigners newcomers immigrants islanders southerners northerners women old people these people people like them hill people the poor deckhands from the south refugees"
+THINGS = "parser buffer release cache module patch branch config server queue table chart page script test"
+SEXUAL_WORDS = "porn nudes nude pictures sex tape naked pictures xxx"
+
+ABUSIVE = {
+    "en": [
+        "you are a {i}", "you {i}", "what a {i} you are", "shut up you {i}", "you are nothing but a {i} and nobody likes you", "get lost, {i}",
+        "everybody here hates you", "are you a {i} or just born stupid", "were you born a {i}", "go die, you {i}", "I will throw you off the roof, {i}",
+        "quit before we break your legs, {i}", "you pathetic worthless {i}", "whoever did this {t} is a {i}", "drop dead, {i}", "kill yourself, nobody would miss you",
+        "you are a disgrace and too stupid to read", "only a {i} writes a {t} like this", "nobody wants you here", "you miserable useless rotten {i}", "fuck you and your {t}",
+        "you worthless excuse for a human being", "you are even dumber than your {t}", "stop touching the {t}, you {i}", "rot in hell, {i}",
+    ],
+    "de": ["du bist ein {i}", "du {i}", "halt die Klappe, du {i}", "verpiss dich, {i}", "so einen Scheiß kann nur ein {i} schreiben", "halt deine Fresse", "alle hassen dich, du {i}", "so ein Scheiss kommt von einem {i}", "welcher {i} war das"],
+    "fr": ["tu es un {i}", "ferme ta gueule, {i}", "espèce de {i}", "espèce d'{i}", "tout le monde te déteste", "casse-toi, {i}", "va te faire foutre", "dégage d'ici, {i}", "quel {i} a fait ça"],
+    "es": ["eres un {i}", "cállate, {i}", "vete a la mierda, {i}", "todos te odian, {i}", "qué {i} hizo esto", "deja de molestar, {i}", "solo un {i} haría esta mierda"],
+    "pt": ["você é um {i}", "cala a boca, {i}", "vai à merda, {i}", "todo mundo te odeia, {i}", "que {i} fez isso", "só um {i} faria este lixo", "só um {i} faria isso nojento", "some daqui, seu {i}"],
+}
+HATEFUL = [
+    "{g} are vermin", "{g} are animals and should be locked up", "we should drown all {g}", "keep {g} out, they are thieves", "send all {g} back where they came from",
+    "{g} do not deserve to live", "{g} are too stupid by birth", "I hate {g}, they ruin everything", "no {g} should ever get a job here", "{g} are filth and a disease", "get rid of all {g}",
+]
+SEXUAL = [
+    "send me nudes", "naked girls click here", "hot naked cam models live, xxx", "watch porn clips for free, click now", "I want to have sex with her", "I want to undress her",
+    "she is so hot, I would sleep with her", "horny tonight, come to my room", "here are her nude pictures", "sexy singles near you want sex, xxx click now", "added porn videos to the folder", "lick my body, baby", "I want to lick you and kiss you all night", "let me touch you all over",
+    "naked models at this {t}, click now", "I want to touch her breasts",
+]
+NONE = [
+    "filter words such as {s}, {s} and {s} in the chat", "block words such as {s} and {s}", "add {s} and {s} to the list of banned words", "the block list now holds {s}, {s} and {s}",
+    "mask swear words such as {s}, {s} and {s} in the {t} filter", "reject comments that contain {s} or {s}", "the spam filter catches {s} and {s}", "the profanity filter missed the word {s}",
+    "report hate speech and {x} to the moderators", "report insults and {x} to the moderators of the {t}", "users can report {x} and threats to the moderators", "document how to report abuse, hate and {x}",
+    "a user called another user {s} and was banned", "quoting the ticket: someone wrote {s} in the {t}", "detect insults like {s} in the {t}",
+    "sorry, I was a {i}", "I am such a {i}, I forgot the {t}", "I feel like a {i} today, my mistake", "my own stupid mistake in the {t}", "silly me, what a {i} I am",
+    "this {t} sucks", "this {t} is garbage", "what a stupid {t}", "ugly hack in the {t}, horrible code", "the {t} is a pathetic mess", "this damn {t} is broken again", "stupid bug in the {t}", "the {t} is a stupid idea, sorry",
+    "make the {t} {i}-proof", "dumb terminal for the {t}", "keep it simple, stupid", "kill the child process", "abort if the slave {t} does not answer the master", "kill zombie processes of the {t}",
+    "penetration test of the {t}", "penetration depth of the hull", "sex column of the {t} may be null, values f and m", "naked pointers in the {t}", "strip the {t} and execute it", "garbage collector of the {t}",
+    "dead code in the {t}", "hang up the {t} and bury the dead {t}", "drown out the noise of the {t}", "the {t} chokes on empty input", "blow up the {t} on bad input", "harden the {t} against brute force attacks",
+]
