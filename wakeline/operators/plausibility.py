@@ -204,13 +204,15 @@ def instants(key: np.ndarray, t: np.ndarray, lon, lat) -> tuple[np.ndarray, np.n
 def between(group, t, lon, lat, good, at_group, at_t):
     """Indexes of the good instants before and after given times (-1 if none), never at the time itself."""
     gi = np.flatnonzero(good)
+    if not len(gi):
+        return np.full(len(at_t), -1), np.full(len(at_t), -1)
     span = np.int64(1) << 40
     base = group[gi].astype(np.int64) * span + t[gi]
     want = at_group.astype(np.int64) * span + at_t
     a = np.searchsorted(base, want, side="left") - 1
     b = np.searchsorted(base, want, side="right")
-    before = np.where((a >= 0), gi[np.clip(a, 0, max(len(gi) - 1, 0))] if len(gi) else -1, -1)
-    after = np.where((b < len(gi)), gi[np.clip(b, 0, max(len(gi) - 1, 0))] if len(gi) else -1, -1)
+    before = np.where((a >= 0), gi[np.clip(a, 0, len(gi) - 1)], -1)
+    after = np.where((b < len(gi)), gi[np.clip(b, 0, len(gi) - 1)], -1)
     before = np.where((before >= 0) & (group[before] == at_group), before, -1)
     after = np.where((after >= 0) & (group[after] == at_group), after, -1)
     return before, after
