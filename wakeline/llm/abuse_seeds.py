@@ -49,3 +49,10 @@ NONE = [
     "penetration test of the {t}", "penetration depth of the hull", "sex column of the {t} may be null, values f and m", "naked pointers in the {t}", "strip the {t} and execute it", "garbage collector of the {t}",
     "dead code in the {t}", "hang up the {t} and bury the dead {t}", "drown out the noise of the {t}", "the {t} chokes on empty input", "blow up the {t} on bad input", "harden the {t} against brute force attacks",
 ]
+# Lines of code and of change logs, which are no sentences at all.
+CODE = [
+    "for (int i = 0; i < n; i++) {", "int main(void) { return 0; }", "if x is None: return {t}", "def {t}(self, value):", "import {t}", "from {t} import {t}", "return {t} or None",
+    "class {t} extends {t} {", "public static void {t}(String[] args)", "while True: {t}.next()", "const {t} = require('{t}')", "fn {t}(x: i32) -> bool", "let a = b + c;", "printf({t});",
+    "select a, b from {t} where a > 0", "diff a/{t} b/{t}", "index {t}..{t}", "new file mode", "fix again", "wip", "typo", "merge branch {t}", "bump {t} to the next version", "user name and password of the {t}",
+    "{t}: true", "a", "the", "only the", "so that", "as it is", "given a", "and then", "told to", "with the", "shipped", "again",
+]
