@@ -77,7 +77,7 @@ def parsed(lines: DataFrame, now: int | None = None) -> DataFrame:
     x = x.where(F.col("s").rlike(r"^[!$]..VD[MO],[1-9],[1-9],") & worth_decoding(F.col("s")))
     f = F.split("s", ",")
     return x.select(
-        "file", "n", "time", F.element_at(f, 2).cast("int").alias("total"), F.element_at(f, 3).cast("int").alias("no"), F.try_element_at(f, F.lit(4)).alias("seq"),
+        "file", "n", "time", F.try_element_at(f, F.lit(2)).try_cast("int").alias("total"), F.try_element_at(f, F.lit(3)).try_cast("int").alias("no"), F.try_element_at(f, F.lit(4)).alias("seq"),
         F.try_element_at(f, F.lit(5)).alias("channel"), F.try_element_at(f, F.lit(6)).alias("payload"),
     ).where("no <= total")
 

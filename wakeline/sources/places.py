@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 def zones_from_text(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Zones of text files with one ``x,y`` a line; the file's stem is the name."""
-    x = spark.read.option("wholetext", True).text(paths).select(
+    x = spark.read.text(paths, wholetext=True).select(
         F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("zone_name"), F.filter(F.split("value", r"\r?\n"), lambda s: s.rlike(r"^\s*[-+0-9.eE]+\s*,\s*[-+0-9.eE]+")).alias("p")
     )
-    num = lambda i: F.transform("p", lambda s: F.trim(F.element_at(F.split(s, ","), i)).cast("double"))
+    num = lambda i: F.transform("p", lambda s: F.trim(F.get(F.split(s, ","), F.lit(i - 1))).try_cast("double"))
     return x.select("zone_name", num(1).alias("xs"), num(2).alias("ys"))
 
 

@@ -34,7 +34,7 @@ def sentences(lines: DataFrame, arrival: str = "arrival") -> DataFrame:
     at = F.coalesce(F.when(tagged, e4), F.unix_timestamp("arrival"))
     f = F.split("s", ",")
     return x.withColumn("s", s).withColumn("time", at).where(F.col("s").rlike(r"^[!$]..VD[MO],[1-9],[1-9],") & nmea.worth_decoding(F.col("s"))).select(
-        "arrival", "time", F.element_at(f, 2).cast("int").alias("total"), F.element_at(f, 3).cast("int").alias("no"), F.coalesce(F.try_element_at(f, F.lit(4)), F.lit("")).alias("seq"),
+        "arrival", "time", F.try_element_at(f, F.lit(2)).try_cast("int").alias("total"), F.try_element_at(f, F.lit(3)).try_cast("int").alias("no"), F.coalesce(F.try_element_at(f, F.lit(4)), F.lit("")).alias("seq"),
         F.coalesce(F.try_element_at(f, F.lit(5)), F.lit("")).alias("channel"), F.try_element_at(f, F.lit(6)).alias("payload"),
     )
 
