@@ -22,6 +22,7 @@ from wakeline.sources import nmea
 
 log = logging.getLogger(__name__)
 FRAGMENT_WAIT_MS = 60_000
+FRAGMENT_DELAY = "1 hour"  # fragments that come later than this are lost
 
 
 def sentences(lines: DataFrame, arrival: str = "arrival") -> DataFrame:
@@ -46,8 +47,9 @@ def join_fragments(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
         state.remove()
         return
     parts = dict(zip(*state.get)) if state.exists else {}
-    out = []
+    out, latest = [], 0
     for pdf in batches:
+        latest = max(latest, int(pdf["time"].max()))
         for no, payload, t in sorted(zip(pdf["no"], pdf["payload"], pdf["time"]), key=lambda r: (r[2], r[0])):
             if no == 1:
                 parts = {}
@@ -57,7 +59,8 @@ def join_fragments(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
                 parts = {}
     if parts:
         state.update((list(parts), list(parts.values())))
-        state.setTimeoutDuration(FRAGMENT_WAIT_MS)
+        # event time: the wait ends with the stream's own clock, and a drained stream comes to rest
+        state.setTimeoutTimestamp(max(latest * 1000, state.getCurrentWatermarkMs()) + FRAGMENT_WAIT_MS)
     elif state.exists:
         state.remove()
     yield pd.DataFrame(out, columns=["time", "payload"])
@@ -66,8 +69,9 @@ def join_fragments(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
 def messages(parsed: DataFrame) -> DataFrame:
     """file, n, time, payload: single sentences at once, fragments when they are complete."""
     single = parsed.where("total = 1").select("time", "payload")
-    whole = parsed.where("total > 1").groupBy("seq", "channel", "total").applyInPandasWithState(
-        join_fragments, "time long, payload string", "nos array<int>, payloads array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    parts = parsed.where("total > 1").withColumn("ts", F.timestamp_seconds("time")).withWatermark("ts", FRAGMENT_DELAY)
+    whole = parts.groupBy("seq", "channel", "total").applyInPandasWithState(
+        join_fragments, "time long, payload string", "nos array<int>, payloads array<string>", "append", GroupStateTimeout.EventTimeTimeout
     )
     return single.unionByName(whole).withColumn("file", F.lit("live")).withColumn("n", F.lit(0).cast("long"))
 
