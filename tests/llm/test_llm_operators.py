@@ -81,6 +81,19 @@ def test_leaks_against_brute_force():
     assert found(docs, items) == want  # runs of 20 exact words and more, none below 16
 
 
+def test_leak_with_an_altered_copy_before_it():
+    rng = random.Random(5)
+    items = [item(rng)]
+    part = items[0].split()[:30]
+    altered = ["typo" if k in (5, 15, 25) else w for k, w in enumerate(part)]
+    other = " ".join(f"x{k}" for k in range(40))
+    split = " ".join(part[:14]) + f" {other} " + " ".join(part[14:])
+    docs = [" ".join([*altered, other, *part]), " ".join([*part, other, *altered]), " ".join([*altered, other] * 20 + part), f"{' '.join(part[8:18])} {other} {split}", " ".join(part[14:]) + f" {other} " + " ".join(part[:14])]
+    table = leaks.Items([(0, items[0])])
+    assert leaks.leaks_of(docs[:4], table) == [(k, 0, 30) for k in range(4)]
+    assert leaks.leaks_of(docs[4:], table) == []  # the parts in the wrong order
+
+
 def test_leaked_items_in_blocks(spark):
     rng = random.Random(4)
     items = [(k, item(rng)) for k in range(7)] + [(None, item(rng)), (8, None)]

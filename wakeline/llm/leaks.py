@@ -30,6 +30,8 @@ TELLING_SHARE = 0.7  # the same of the words that tell the item from others
 STOCK_WORDS = 12  # a run of so many words in two items belongs to neither
 MASKS = ("1101100101", "1110101011", "11011011", "1010111001", "1100110011")
 SHARED_ITEMS = 3  # a seed found in more items is a common phrase
+NEAR = 4  # diagonals so near are one place of the document
+CELLS = 4_000_000  # words of an alignment held at once
 BLOCK_ITEMS = 20_000  # items held by a task at once; more are taken in blocks
 
 WORD = re.compile(r"[^\W_]+")
@@ -146,31 +148,100 @@ def seed_hashes(w: np.ndarray, mask: np.ndarray, factor: np.ndarray, at: np.ndar
     return h
 
 
+def live_marks(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Diagonal, item position and strength of the equal words that count, in the order of the diagonals.
+
+    A mark counts where its diagonal is locally alive: enough marks among the words
+    around it.  The diagonals are taken in chunks, so that any number of them fits.
+    """
+    n, rows = len(item), max(1, CELLS // len(item))
+    out = []
+    for c in range(0, len(diagonals), rows):
+        at = diagonals[c : c + rows, None] + np.arange(n)
+        where = (at >= 0) & (at < len(doc)) & (item == doc[np.clip(at, 0, len(doc) - 1)])
+        sums = np.pad(np.cumsum(where, 1, dtype=np.int32), ((0, 0), (5, 4)), mode="constant")
+        sums[:, n + 5 :] = sums[:, n + 4 : n + 5]
+        local = sums[:, 9:] - sums[:, :n]
+        k, i = np.nonzero(where & (local >= 4))
+        out.append((diagonals[c + k], i, local[k, i]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def placed(diag: np.ndarray, pos: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the document holds of the item at one place each: (marks of n words, first and last diagonal with these marks).
+
+    A place is a diagonal with the near ones, so that words may be dropped or
+    doubled; copies of a passage are places of their own.
+    """
+    centre = np.unique(diag)
+    lo, hi = np.searchsorted(diag, centre - NEAR), np.searchsorted(diag, centre + NEAR, "right")
+    seen: dict[bytes, list[int]] = {}
+    rows = max(1, CELLS // n)
+    for c in range(0, len(centre), rows):
+        size = (hi - lo)[c : c + rows]
+        which = np.repeat(lo[c : c + rows] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        marks = np.zeros((len(size), n), bool)
+        marks[np.repeat(np.arange(len(size)), size), pos[which]] = True
+        for d, key in zip(centre[c : c + rows].tolist(), np.packbits(marks, axis=1)):
+            seen.setdefault(key.tobytes(), [d, d])[1] = d
+    marks = np.unpackbits(np.frombuffer(b"".join(seen), np.uint8).reshape(len(seen), -1), axis=1, count=n).astype(bool)
+    ends = np.array(list(seen.values()))
+    order = np.argsort(-marks.sum(1), kind="stable")
+    return marks[order], ends[order, 0], ends[order, 1]
+
+
 def longest_stretch(item: np.ndarray, own: np.ndarray, telling: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> int:
     """Words of the longest stretch of the item's own words that the document holds.
 
-    Per diagonal (document position minus item position) equal words are marked;
-    a stretch may step between near diagonals (words dropped, doubled or split) and
-    once over a wider gap (other lines in between).
+    Per diagonal (document position minus item position) equal words are marked.
+    Every place of the document is judged on its own, and every two places in their
+    order as the parts of a passage with other lines in between.
     """
     n = len(item)
-    where = np.full((len(diagonals), n), False)
-    for k, d in enumerate(diagonals):
-        a, b = max(0, -d), min(n, len(doc) - d)
-        if a < b:
-            where[k, a:b] = item[a:b] == doc[a + d : b + d]
-    # a mark counts where its diagonal is locally alive: enough marks among the words around it
-    pad = np.pad(where.astype(int), ((0, 0), (4, 4)))
-    local = sum(pad[:, s : s + n] for s in range(9))
-    alive = where & (local >= 4)
-    best, used = 0, alive.any(0)
-    if used.sum() < MIN_WORDS * SHARE:
+    diag, pos, local = live_marks(item, doc, diagonals)
+    if len(np.unique(pos)) < MIN_WORDS * SHARE:
         return 0
-    diag = np.where(used, diagonals[np.argmax(np.where(alive, local, -1), axis=0)], np.iinfo(np.int64).min)
-    marks = np.flatnonzero(used)
+    best = drifting(diag, pos, local, own, telling)
+    marks, first, last = placed(diag, pos, n)
+    size = marks.sum(1)
+    for m, k in zip(marks, size):
+        if min(n, int(k / SHARE)) > best:
+            best = max(best, dense(np.flatnonzero(m), own, telling))
+    rows = max(1, CELLS // len(marks))
+    for c in range(0, len(marks), rows):
+        both = size[c : c + rows, None] + size - marks[c : c + rows].astype(np.float32) @ marks.T.astype(np.float32)
+        both[first[c : c + rows, None] >= last] = 0
+        for x, y in zip(*np.nonzero(np.minimum(n, both / SHARE) >= max(best + 1, MIN_WORDS * 1.0))):
+            if min(n, both[x, y] / SHARE) >= best + 1:
+                best = max(best, parted(marks[c + x], marks[y], own, telling, best))
+    return best
+
+
+def parted(before: np.ndarray, after: np.ndarray, own: np.ndarray, telling: np.ndarray, best: int) -> int:
+    """Longest stretch that begins with marks of one place and goes on with those of a later one.
+
+    The parts need only be tried where marks of the first place alone are followed
+    by marks of the second alone: any other parting has fewer marks.
+    """
+    alone = np.flatnonzero(before != after)
+    head = before[alone]
+    for p in alone[:-1][head[:-1] & ~head[1:]]:
+        seg = np.r_[np.flatnonzero(before[: p + 1]), np.flatnonzero(after[p + 1 :]) + p + 1]
+        best = max(best, dense(seg, own, telling))
+    return best
+
+
+def drifting(diag: np.ndarray, pos: np.ndarray, local: np.ndarray, own: np.ndarray, telling: np.ndarray) -> int:
+    """Longest stretch along the strongest diagonal of each word: long passages may drift over many near diagonals.
+
+    It may step between near diagonals and once over a wider gap.
+    """
+    order = np.lexsort((diag, -local, pos))
+    marks, at = np.unique(pos[order], return_index=True)
+    best, diag = 0, diag[order][at]
     # cut where the order breaks or a second wide gap comes
-    step = np.diff(diag[marks])
-    wide = np.abs(step) > 4
+    step = np.diff(diag)
+    wide = np.abs(step) > NEAR
     back = step < -8
     starts = np.flatnonzero(np.r_[True, back])
     for s, e in zip(starts, np.r_[starts[1:], len(marks)]):
