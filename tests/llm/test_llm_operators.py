@@ -94,6 +94,19 @@ def test_leak_with_an_altered_copy_before_it():
     assert leaks.leaks_of(docs[4:], table) == []  # the parts in the wrong order
 
 
+def test_leak_parts_without_seed_and_altered_ends():
+    rng = random.Random(6)
+    items = [item(rng)]
+    a, x = items[0].split(), " ".join(f"x{k}" for k in range(40))
+    cut = lambda n, m: f"{x} {' '.join(a[10 : 10 + n])} {x} {' '.join(a[10 + n : 10 + n + m])} {x}"
+    run = lambda s, e: f"{x} {' '.join(a[s:e])} {x}"
+    mixed = f"{x} {' '.join(a[10:25])} {x} {' '.join(a[25:27])} typo {' '.join(a[28:31])} {x}"
+    docs = [cut(15, 6), cut(18, 7), cut(6, 15), cut(7, 13), cut(17, 3), mixed, run(10, 29), run(11, 29)]
+    no = [cut(12, 5), run(10, 27), f"{' '.join(a[16:31])} {x} {' '.join(a[10:16])}", " ".join(a[10:29]), f"{' '.join(a[:18])}", run(0, 18)]
+    assert found(docs, items) == {(k, 0) for k in range(len(docs))}
+    assert found(no, items) == set()
+
+
 def test_leaked_items_in_blocks(spark):
     rng = random.Random(4)
     items = [(k, item(rng)) for k in range(7)] + [(None, item(rng)), (8, None)]

@@ -6,7 +6,9 @@ positions; only the positions set in the mask are hashed, so the others may
 differ.  Seeds of the corpus are joined with those of the items, and around the
 hits the two texts are aligned on the diagonals the hits lie on: a leak is a
 stretch of the item's own words that stands in the document, with about one word
-in ten altered and at most one interruption by other lines.
+in ten altered and at most one interruption by other lines.  A part of a passage
+that is too short for a seed needs a run of three words that few items have; one
+or two words elsewhere in a document are no part.
 
 Words shared by several items in long runs (stock paragraphs) are not an item's
 own and neither seed nor count.
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 MIN_WORDS = 20
 SHARE = 0.78  # least share of equal words in a stretch
 TELLING_SHARE = 0.7  # the same of the words that tell the item from others
+ALTERED = 0.1  # altered words of a passage that is only long enough with an altered end
 STOCK_WORDS = 12  # a run of so many words in two items belongs to neither
 MASKS = ("1101100101", "1110101011", "11011011", "1010111001", "1100110011")
 SHARED_ITEMS = 3  # a seed found in more items is a common phrase
@@ -113,9 +116,15 @@ class Items:
             for k in range(3):
                 tell[k : k + len(common)] &= ~common
             self.telling.append(tell)
+        # rare runs of three own words find the parts of a passage that are too short for a seed
+        self.rare = []
+        for w, own in zip(self.words, self.own):
+            few = [len(tri[w[k : k + 3].tobytes()]) <= SHARED_ITEMS and bool(own[k : k + 3].all()) for k in range(len(w) - 2)]
+            self.rare.append(np.array(few + [False] * min(2, len(w)), bool))
         rng = np.random.default_rng(20040101)
         self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in MASKS]
         self.factors = [rng.integers(1, 2**62, len(m), dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1) for m in self.masks]
+        self.run_mask, self.run_factor = np.arange(3), rng.integers(1, 2**62, 3, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
         self.hashes, self.places = [], []
         for mask, factor in zip(self.masks, self.factors):
             hs, ps = [], []
@@ -148,11 +157,30 @@ def seed_hashes(w: np.ndarray, mask: np.ndarray, factor: np.ndarray, at: np.ndar
     return h
 
 
-def live_marks(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def run_hashes(w: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of three known words of a text, and their positions."""
+    known = w >= 0
+    at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
+    return seed_hashes(w, items.run_mask, items.run_factor, at), at
+
+
+def run_diagonals(n: int, items: Items, runs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Diagonals on which a text has a rare run of the item, wherever it stands."""
+    start = np.flatnonzero(items.rare[n])
+    h = seed_hashes(items.words[n], items.run_mask, items.run_factor, start)
+    order = np.argsort(h, kind="stable")
+    h, start = h[order], start[order]
+    lo, hi = np.searchsorted(h, runs[0], "left"), np.searchsorted(h, runs[0], "right")
+    size = hi - lo
+    which = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+    return np.unique(np.repeat(runs[1], size) - start[which])
+
+
+def live_marks(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Diagonal, item position and strength of the equal words that count, in the order of the diagonals.
 
     A mark counts where its diagonal is locally alive: enough marks among the words
-    around it.  The diagonals are taken in chunks, so that any number of them fits.
+    around it, or a ``rare`` run of three.  The diagonals are taken in chunks, so that any number of them fits.
     """
     n, rows = len(item), max(1, CELLS // len(item))
     out = []
@@ -162,20 +190,26 @@ def live_marks(item: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> tupl
         sums = np.pad(np.cumsum(where, 1, dtype=np.int32), ((0, 0), (5, 4)), mode="constant")
         sums[:, n + 5 :] = sums[:, n + 4 : n + 5]
         local = sums[:, 9:] - sums[:, :n]
-        k, i = np.nonzero(where & (local >= 4))
+        live = where & (local >= 4)
+        if rare is not None and n > 2:
+            run = where[:, :-2] & where[:, 1:-1] & where[:, 2:] & rare[:-2]
+            for j in range(3):
+                live[:, j : n - 2 + j] |= run
+        k, i = np.nonzero(live)
         out.append((diagonals[c + k], i, local[k, i]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def placed(diag: np.ndarray, pos: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What the document holds of the item at one place each: (marks of n words, first and last diagonal with these marks).
+def placed(diag: np.ndarray, pos: np.ndarray, n: int, size_doc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the document holds of the item at one place each: (marks of n words, the item words that lie within
+    the document as (from, to), first and last diagonal with these marks).
 
     A place is a diagonal with the near ones, so that words may be dropped or
     doubled; copies of a passage are places of their own.
     """
     centre = np.unique(diag)
     lo, hi = np.searchsorted(diag, centre - NEAR), np.searchsorted(diag, centre + NEAR, "right")
-    seen: dict[bytes, list[int]] = {}
+    seen: dict[tuple, list[int]] = {}
     rows = max(1, CELLS // n)
     for c in range(0, len(centre), rows):
         size = (hi - lo)[c : c + rows]
@@ -183,51 +217,56 @@ def placed(diag: np.ndarray, pos: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         marks = np.zeros((len(size), n), bool)
         marks[np.repeat(np.arange(len(size)), size), pos[which]] = True
         for d, key in zip(centre[c : c + rows].tolist(), np.packbits(marks, axis=1)):
-            seen.setdefault(key.tobytes(), [d, d])[1] = d
-    marks = np.unpackbits(np.frombuffer(b"".join(seen), np.uint8).reshape(len(seen), -1), axis=1, count=n).astype(bool)
-    ends = np.array(list(seen.values()))
+            seen.setdefault((key.tobytes(), max(0, -d), min(n, size_doc - d)), [d, d])[1] = d
+    marks = np.unpackbits(np.frombuffer(b"".join(k for k, _, _ in seen), np.uint8).reshape(len(seen), -1), axis=1, count=n).astype(bool)
+    ends, within = np.array(list(seen.values())), np.array([k[1:] for k in seen])
     order = np.argsort(-marks.sum(1), kind="stable")
-    return marks[order], ends[order, 0], ends[order, 1]
+    return marks[order], within[order], ends[order, 0], ends[order, 1]
 
 
-def longest_stretch(item: np.ndarray, own: np.ndarray, telling: np.ndarray, doc: np.ndarray, diagonals: np.ndarray) -> int:
+def longest_stretch(item: np.ndarray, own: np.ndarray, telling: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, rare: np.ndarray, weak: np.ndarray) -> int:
     """Words of the longest stretch of the item's own words that the document holds.
 
     Per diagonal (document position minus item position) equal words are marked.
     Every place of the document is judged on its own, and every two places in their
-    order as the parts of a passage with other lines in between.
+    order as the parts of a passage with other lines in between.  ``weak`` diagonals
+    have rare runs of the item but need no seed: they hold the short parts.
     """
     n = len(item)
     diag, pos, local = live_marks(item, doc, diagonals)
-    if len(np.unique(pos)) < MIN_WORDS * SHARE:
+    d, i, _ = live_marks(item, doc, weak, rare)
+    if len(np.unique(np.r_[pos, i])) < MIN_WORDS * SHARE:
         return 0
-    best = drifting(diag, pos, local, own, telling)
-    marks, first, last = placed(diag, pos, n)
+    best = drifting(diag, pos, local, own, telling) if len(diag) else 0
+    diag, pos = np.r_[diag, d], np.r_[pos, i]
+    order = np.argsort(diag, kind="stable")
+    marks, within, first, last = placed(diag[order], pos[order], n, len(doc))
     size = marks.sum(1)
-    for m, k in zip(marks, size):
+    for m, k, (lo, hi) in zip(marks, size, within):
         if min(n, int(k / SHARE)) > best:
-            best = max(best, dense(np.flatnonzero(m), own, telling))
+            best = max(best, dense(np.flatnonzero(m), own, telling, lo, hi))
     rows = max(1, CELLS // len(marks))
     for c in range(0, len(marks), rows):
         both = size[c : c + rows, None] + size - marks[c : c + rows].astype(np.float32) @ marks.T.astype(np.float32)
         both[first[c : c + rows, None] >= last] = 0
         for x, y in zip(*np.nonzero(np.minimum(n, both / SHARE) >= max(best + 1, MIN_WORDS * 1.0))):
             if min(n, both[x, y] / SHARE) >= best + 1:
-                best = max(best, parted(marks[c + x], marks[y], own, telling, best))
+                best = max(best, parted(marks[c + x], marks[y], own, telling, within[c + x, 0], within[y, 1]))
     return best
 
 
-def parted(before: np.ndarray, after: np.ndarray, own: np.ndarray, telling: np.ndarray, best: int) -> int:
+def parted(before: np.ndarray, after: np.ndarray, own: np.ndarray, telling: np.ndarray, lo: int, hi: int) -> int:
     """Longest stretch that begins with marks of one place and goes on with those of a later one.
 
     The parts need only be tried where marks of the first place alone are followed
     by marks of the second alone: any other parting has fewer marks.
     """
+    best = 0
     alone = np.flatnonzero(before != after)
     head = before[alone]
     for p in alone[:-1][head[:-1] & ~head[1:]]:
         seg = np.r_[np.flatnonzero(before[: p + 1]), np.flatnonzero(after[p + 1 :]) + p + 1]
-        best = max(best, dense(seg, own, telling))
+        best = max(best, dense(seg, own, telling, lo, hi))
     return best
 
 
@@ -253,9 +292,13 @@ def drifting(diag: np.ndarray, pos: np.ndarray, local: np.ndarray, own: np.ndarr
     return best
 
 
-def dense(seg: np.ndarray, own: np.ndarray, telling: np.ndarray) -> int:
+def dense(seg: np.ndarray, own: np.ndarray, telling: np.ndarray, lo: int = 0, hi: int = 0) -> int:
     """Length of the longest window of own item positions that is mostly marked; ends are marked, gaps short.
 
+    A window just short of MIN_WORDS may take altered words at its ends, one at
+    each, from the item words ``lo`` to ``hi`` that lie within the document, if no
+    more than ALTERED of the words are altered then.
+
     SHARE of all words must be marked and TELLING_SHARE of those that tell the item
     from others, so that a text made on the same pattern is no leak.
     """
@@ -276,6 +319,17 @@ def dense(seg: np.ndarray, own: np.ndarray, telling: np.ndarray) -> int:
         ok = (length > 0) & (count >= SHARE * length) & (hits >= TELLING_SHARE * tells)
         if ok.any():
             best = max(best, int(length[ok].max()))
+        if best < MIN_WORDS and hi > lo:
+            left, right = part - 1, np.minimum(part + 1, len(own) - 1)
+            free_l, free_r = ((left >= lo) & own[left])[:, None], ((part + 1 < hi) & own[right])[None, :]
+            tell_l, tell_r = telling[left].astype(int)[:, None], telling[right].astype(int)[None, :]
+            lack = MIN_WORDS - length
+            one = np.where(free_l & free_r, np.minimum(tell_l, tell_r), np.where(free_l, tell_l, tell_r))
+            more = np.where(lack == 1, one, tell_l + tell_r)
+            ok = ((lack == 1) & (free_l | free_r)) | ((lack == 2) & free_l & free_r)
+            ok &= (count >= (1 - ALTERED) * MIN_WORDS) & (hits >= TELLING_SHARE * (tells + more))
+            if ok.any():
+                best = MIN_WORDS
     return best
 
 
@@ -309,6 +363,7 @@ def leaks_of(texts: list[str | None], items: Items) -> list[tuple[int, int, int]
         p = np.repeat(at[some], n)
         hits.append(np.stack([doc[p], places[which, 0], p - start[doc[p]] - places[which, 1]], 1))
     out = []
+    runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of the document at hand
     if sum(map(len, hits)):
         h = np.unique(np.concatenate(hits), axis=0)
         edges = np.flatnonzero(np.r_[True, (h[1:, 0] != h[:-1, 0]) | (h[1:, 1] != h[:-1, 1]), True])
@@ -316,7 +371,9 @@ def leaks_of(texts: list[str | None], items: Items) -> list[tuple[int, int, int]
             d, i = int(h[a, 0]), int(h[a, 1])
             # near diagonals of a hit catch words dropped or doubled beside it
             diag = np.unique(h[a:b, 2][:, None] + np.arange(-2, 3)) if b - a < 400 else np.unique(h[a:b, 2])
-            n = longest_stretch(items.words[i], items.own[i], items.telling[i], ids[d], diag)
+            if d not in runs:
+                runs = {d: run_hashes(ids[d], items)}
+            n = longest_stretch(items.words[i], items.own[i], items.telling[i], ids[d], diag, items.rare[i], run_diagonals(i, items, runs[d]))
             if n >= MIN_WORDS:
                 out.append((d, i, n))
     return out
