@@ -107,6 +107,21 @@ def test_leak_parts_without_seed_and_altered_ends():
     assert found(no, items) == set()
 
 
+def test_leak_with_drops_in_a_text_that_repeats_a_phrase(monkeypatch):
+    rng = random.Random(7)
+    items = [item(rng)]
+    a = items[0].split()
+    bits = [" ".join(w) for w in (a[20:28], a[29:34], a[35:43])]  # two words dropped; the middle part is too short for a seed
+    phrase = " ".join([*a[46:56], *(f"y{k}" for k in range(9))]) + " "
+    short, long = phrase + " ".join(bits), phrase * 500 + " ".join(bits)
+    table = leaks.Items([(0, items[0])])
+    table.rare = [np.zeros_like(r) for r in table.rare]  # by its hits alone
+    for cells in (leaks.CELLS, 500):  # with any size of the chunks
+        monkeypatch.setattr(leaks, "CELLS", cells)
+        got = leaks.leaks_of([short, long], table)
+        assert [k for k, _, _ in got] == [0, 1] and got[0][2] == got[1][2] >= 20
+
+
 def test_leaked_items_in_blocks(spark):
     rng = random.Random(4)
     items = [(k, item(rng)) for k in range(7)] + [(None, item(rng)), (8, None)]

@@ -370,7 +370,7 @@ def leaks_of(texts: list[str | None], items: Items) -> list[tuple[int, int, int]
         for a, b in zip(edges[:-1], edges[1:]):
             d, i = int(h[a, 0]), int(h[a, 1])
             # near diagonals of a hit catch words dropped or doubled beside it
-            diag = np.unique(h[a:b, 2][:, None] + np.arange(-2, 3)) if b - a < 400 else np.unique(h[a:b, 2])
+            diag = np.unique(h[a:b, 2][:, None] + np.arange(-2, 3))
             if d not in runs:
                 runs = {d: run_hashes(ids[d], items)}
             n = longest_stretch(items.words[i], items.own[i], items.telling[i], ids[d], diag, items.rare[i], run_diagonals(i, items, runs[d]))
