@@ -162,6 +162,39 @@ def test_spacing_is_constant_and_ends_at_the_end(spark):
     assert resample.interp_spacing(df, 1e6).count() == 0
 
 
+def test_resampling_queries_take_every_track(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(8)
+    rows, ids = [], (201000001, 316000001, 563000001, 775999999)
+    for m in ids:
+        t = np.sort(rng.integers(T0, T0 + 200_000, 60))
+        lon, lat = np.cumsum(rng.normal(0, 0.2, 60)), 40 + np.cumsum(rng.normal(0, 0.1, 60))
+        rows += [(len(rows) + k, m, int(t[k]), float(lon[k]), float(lat[k]), float(rng.integers(0, 20)), 1.0, 1.0, "feed") for k in range(60)]
+    rows.append((len(rows), ids[0], rows[5][2], 9.0, 9.0, 9.0, 1.0, 1.0, "feed"))  # a second ping of one time
+    spark.createDataFrame(rows, "row_id long, mmsi long, time long, longitude double, latitude double, sog double, cog double, heading double, source string").write.parquet(f"{tmp_path}/ais_dynamic.parquet")
+    samples, ways = {}, {}
+    for m in ids:
+        one = {}
+        for r in rows:
+            if r[1] == m:
+                one.setdefault(r[2], r)
+        t = np.array(sorted(one))
+        lon, lat, sog = (np.array([one[k][c] for k in t]) for c in (3, 4, 5))
+        x, y = 6378137 * np.radians(lon), 6378137 * np.log(np.tan(np.pi / 4 + np.radians(lat) / 2))
+        at = t[0] + 1800 * np.arange(math.ceil((t[-1] - t[0]) / 1800) + 1)
+        back = np.degrees(2 * np.arctan(np.exp(np.interp(at, t, y) / 6378137)) - np.pi / 2)
+        samples |= {(m, int(k)): v for k, *v in zip(at, np.degrees(np.interp(at, t, x) / 6378137), back, np.interp(at, t, sog))}
+        total = np.hypot(np.diff(x), np.diff(y)).sum()
+        ways[m] = (math.ceil(total / 50_000) + 1, total)
+    q = entry.queries()
+    got = {(r.mmsi, r.time): [r.lon, r.lat, r.sog] for r in q["interp_time_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(samples) and all(np.allclose(got[k], samples[k], atol=1e-4, rtol=0) for k in got)
+    got = {r.mmsi: (r.samples, r.metres) for r in q["interp_spacing_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(ids) and all(got[m][0] == ways[m][0] and abs(got[m][1] - ways[m][1]) <= 1 for m in ids)
+    assert sorted(map(tuple, q["coarse_types_all"](spark, str(tmp_path)).collect())) == scalar.coarse_types()
+
+
 def test_spline_passes_through_cubics():
     t = np.array([0.0, 1, 3, 4, 7])
     f = lambda u: (u**3 - 2 * u**2 + 5)[:, None]

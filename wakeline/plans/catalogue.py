@@ -476,6 +476,23 @@ def interp_spacing(spark, d):
     return x.groupBy("mmsi").agg(F.count(F.lit(1)).alias("samples"), F.round(F.max("way"), 0).alias("metres"))
 
 
+def _sailed(spark, d):
+    return pings(spark, d).where(F.abs("lat") < 85)
+
+
+# Every track, without SQL; that of the two queries above is confined to the fleet.
+@query()
+def interp_time_all(spark, d):
+    x = resample.interp_time(_sailed(spark, d), 1800)
+    return x.select("mmsi", "time", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("sog", 4).alias("sog"))
+
+
+@query()
+def interp_spacing_all(spark, d):
+    x = resample.interp_spacing(_sailed(spark, d), 50_000)
+    return x.groupBy("mmsi").agg(F.count(F.lit(1)).alias("samples"), F.round(F.max("way"), 0).alias("metres"))
+
+
 @query()
 def geo_interp_azimuth(spark, d):
     return resample.geo_interp_time(pings(spark, d).where(F.abs("lat") < 85), 1800).select("mmsi", "time", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("cog", 3).alias("cog"))
@@ -567,6 +584,11 @@ def coarse_types(spark, d):
     return spark.createDataFrame(scalar.coarse_types(), "coarse_type int, coarse_type_txt string").where(F.col("coarse_type").isin(20, 31, 52, 71, 84, 100))
 
 
+@query()
+def coarse_types_all(spark, d):
+    return spark.createDataFrame(scalar.coarse_types(), "coarse_type int, coarse_type_txt string")
+
+
 # -- export and service -----------------------------------------------------
 
 @query(f"""WITH {PINGS} SELECT CAST(dense_rank() OVER (ORDER BY mmsi) AS VARCHAR) AS "Track_ID", CAST(mmsi AS VARCHAR) AS mmsi, strftime(make_timestamp(time * 1000000), '%Y-%m-%d %H:%M:%S') AS datetime, CAST(time AS VARCHAR) AS time,
