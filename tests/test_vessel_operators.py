@@ -241,6 +241,16 @@ def test_empty_slots_against_brute_force(spark):
     assert got == want
 
 
+def test_regular_grid_goes_on_over_midnight(spark):
+    day = 86_400
+    rows = [("a", day - 900, 0.0), ("a", day + 900, 18.0), ("a", 4 * day, 5.0), ("b", day - 600, 1.0), ("b", day, 2.0), ("c", day - 30, 3.0)]
+    g = regularise.regular_grid(spark.createDataFrame(rows, "k string, t long, v double"), "k", "t", ["v"], 600, 3600)
+    got = {k: [tuple(r)[1:] for r in g.where(g.k == k).orderBy("grid_time").collect()] for k in "abc"}
+    assert got["a"][:3] == [(day - 600, 3.0, "interpolated"), (day, 9.0, "interpolated"), (day + 600, 15.0, "interpolated")]
+    assert got["a"][3:-1] == [(t, None, "missing") for t in range(day + 1200, 4 * day, 600)] and got["a"][-1] == (4 * day, 5.0, "observed")
+    assert got["b"] == [(day - 600, 1.0, "observed"), (day, 2.0, "observed")] and got["c"] == [(day, 3.0, "extended")]
+
+
 def test_regular_grid_states(spark):
     rows = [("a", T0, 0.0), ("a", T0 + 1200, 2.0), ("a", T0 + 1200, 9.0), ("a", T0 + 9000, 4.0), ("a", T0 + 9050, None), (None, T0, 1.0), ("b", None, 1.0)]
     g = regularise.regular_grid(spark.createDataFrame(rows, "k string, t long, v double"), "k", "t", ["v"], 600, 3600)

@@ -52,11 +52,12 @@ def regular_grid(
 ) -> DataFrame:
     """Series at every multiple of ``step``; gaps are interpolated or marked.
 
-    Each reading is paired with the next by ``lead`` inside its (key, window);
-    grid times in [time, next) are exploded.  Pairs at most ``max_gap`` apart are
+    Each reading is paired with the next by ``lead`` inside its (key, window), the
+    last of a window with the first of the key's next window that has any (one row
+    per key and window is carried); grid times in [time, next) are exploded.  Pairs at most ``max_gap`` apart are
     interpolated linearly, longer ones give rows with null values and state
     ``missing``; a grid time that meets a reading has state ``observed``.  With
-    ``extend`` the last reading of a window also fills its own slot boundary.
+    ``extend`` the last reading of a key also fills its own slot boundary.
     Rows with null key or time are left out; of readings with one time the one
     with the smallest values stays; null values interpolate to null.
     Output: key, grid_time, values..., state.  Extra columns are dropped.
@@ -68,7 +69,15 @@ def regular_grid(
         .withColumn("_win", F.floor(F.col("_t") / within).cast("long"))
         .groupBy(key, "_win", "_t")
         .agg(F.min(F.struct(*[f"_v_{i}" for i in range(len(values))])).alias("_v"))
-        .withColumn("_nt", F.lead("_t").over(w)).withColumn("_nv", F.lead("_v").over(w))
+    )
+    # a window's rows meet the next window's first reading by way of one row per key and window
+    heads = base.groupBy(key, "_win").agg(F.min(F.struct("_t", "_v")).alias("_head"))
+    heads = heads.withColumn("_carry", F.lead("_head").over(Window.partitionBy(key).orderBy("_win"))).where("_carry is not null").drop("_head")
+    base = (
+        base.withColumn("_nt", F.lead("_t").over(w)).withColumn("_nv", F.lead("_v").over(w))
+        .join(heads, [key, "_win"], "left")
+        .withColumn("_nv", F.when(F.col("_nt").isNull(), F.col("_carry._v")).otherwise(F.col("_nv")))
+        .withColumn("_nt", F.coalesce("_nt", "_carry._t"))
     )
     first = (F.ceil(F.col("_t") / step) * step).cast("long")
     last = F.coalesce(F.col("_nt") - 1, F.col("_t") if not extend else (F.floor((F.col("_t") + step - 1) / step) * step).cast("long"))
