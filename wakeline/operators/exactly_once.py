@@ -1,11 +1,11 @@
 """One copy of every message delivered at least once.
 
-Exact quotient hash tables.  A message's identifier (mmsi, seconds, feed) is
-brought to a fixed width - two 64-bit words and the feed's own bytes - and its
-words are sent through a permutation, which loses nothing: the top bits of the
-permuted identifier (quotient) name a shard and a slot, all other bits (the
-complete remainder) are stored.  Two identifiers meet only if quotient,
-remainder and feed are equal, so there are no false matches.
+Sorted runs in place of exact quotient hash tables.  A message's identifier (mmsi,
+seconds, feed) is brought to a fixed width - two 64-bit words and the feed's own
+bytes - and its words are sent through a permutation, which loses nothing: the top
+bits of the permuted identifier (quotient) name a shard, and inside it whole
+identifiers are sorted and neighbours compared; there are no slots.  Two identifiers
+meet only if both words and the feed are equal, so there are no false matches.
 
 Copies are dropped twice: first inside every scan task, so that one identifier
 sends at most one row per task however often it was delivered, then per shard.
