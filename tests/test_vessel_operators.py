@@ -260,6 +260,42 @@ def test_regular_grid_states(spark):
     assert regularise.regular_grid(spark.createDataFrame([], "k string, t long, v double"), "k", "t", ["v"], 600, 3600).count() == 0
 
 
+def brute_grid(rows, step, max_gap):
+    """Every pair of readings of a source, one after the other."""
+    out = []
+    for k in sorted({r[0] for r in rows if r[0] is not None}):
+        best = {}
+        for kk, t, x in rows:
+            if kk == k and t is not None:
+                best[t] = min(best.get(t, x), x)
+        line = sorted(best.items())
+        if not line:
+            continue
+        out += [(k, line[0][0] // step * step, line[0][1], "extended")] if line[0][0] % step else []
+        for (t, x), (nt, nx) in zip(line, line[1:]):
+            for g in range(-(-t // step) * step, nt, step):
+                turn = (nx - x + 180) % 360 - 180
+                v = x if g == t else None if nt - t > max_gap else (x + turn * (g - t) / (nt - t) + 180) % 360 - 180
+                out.append((k, g, v, "observed" if g == t else "missing" if v is None else "interpolated"))
+        t, x = line[-1]
+        out.append((k, -(-t // step) * step, x, "extended" if t % step else "observed"))
+    return sorted(out)
+
+
+def test_regular_grid_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, *range(T0 - 86_400, T0 + 3 * 86_400, 331)]), rng.choice([179.5, -179.5, -170.0, 60.0])) for _ in range(600)]
+    rows += [("c", T0 + 86_400 - 1500, 1.0), ("c", T0 + 86_400 + 1500, 3.0), ("d", T0 + 86_400 - 300, 1.0), ("d", T0 + 86_400, 2.0), ("e", T0, 5.0)]
+    df = spark.createDataFrame(rows, "k string, t long, v double").withColumn("state", F.lit("clash")).withColumn("_win", F.lit(1)).repartition(3)
+    g = regularise.regular_grid(df, "k", "t", ["v"], 600, 3600, begin=True, circular=["v"])
+    got = sorted((r.k, r.grid_time, r.v, r.state) for r in g.collect())
+    want = brute_grid(rows, 600, 3600)
+    assert [(k, t, s) for k, t, _, s in got] == [(k, t, s) for k, t, _, s in want]
+    assert len({(k, t) for k, t, _, _ in got}) == len(got)
+    for (_, _, a, _), (_, _, b, _) in zip(got, want):
+        assert (a is None) == (b is None) and (a is None or abs((a - b + 180) % 360 - 180) < 1e-9)
+
+
 # -- exactly once -------------------------------------------------------------
 
 def test_repeated_messages_against_brute_force(spark):

@@ -18,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"p2_found": known_at.P2_SQL, "p3_found": proximity.P3_SQL, "p5_found": regularise.P5_SQL, "p6_found": exactly_once.P6_SQL}
+    return {"p2_found": known_at.P2_SQL, "p3_found": proximity.P3_SQL, "p5_found": regularise.P5_SQL, "p5_series": regularise.P5_SERIES_SQL, "p6_found": exactly_once.P6_SQL}
