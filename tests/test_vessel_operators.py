@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import REPORT, T0, at, leg, metres, reports, rest
 from pyspark.sql import functions as F
@@ -326,8 +327,46 @@ def test_permutation_loses_nothing():
     a, b = rng.integers(-(2**62), 2**62, 20_000), rng.integers(-5, 5, 20_000)
     x, y = exactly_once.permute(a, b)
     assert len({*zip(x.tolist(), y.tolist())}) == len({*zip(a.tolist(), b.tolist())})
-    table = exactly_once.QuotientTable()
-    dropped, _ = table.insert(x, y, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.arange(len(a)))
-    assert len(table) + len(dropped) == len(a)
-    q = int(table.high[17] >> np.uint64(64 - table.bits))
-    assert 17 in range(*table.run(q).indices(len(table)))
+
+
+def test_quotient_table_is_exact_and_gives_identifiers_back():
+    rng = np.random.default_rng(2)
+    n = 30_000
+    a = np.where(rng.random(n) < 0.5, rng.integers(0, 1 << 30, n), rng.integers(-(2**62), 2**62, n))[rng.integers(0, n // 3, n)]
+    b = rng.integers(-2, 3, n)
+    high, low, wide = exactly_once.identifiers(a, b)
+    code, received, row = rng.integers(0, 2, n) * 2 + wide, rng.integers(0, 4, n), rng.permutation(n)
+    table, gone = exactly_once.QuotientTable(4), []
+    for part in np.array_split(np.arange(n), 7):  # grows as it goes
+        gone.append(table.insert(high[part], low[part], code[part], received[part], row[part]))
+    best = {}
+    for k, r in zip(zip(a.tolist(), b.tolist(), code.tolist()), zip(received.tolist(), row.tolist())):
+        best[k] = min(best.get(k, r), r)
+    gone = np.concatenate(gone)
+    assert len(table) == len(best) and len(gone) == len(set(gone.tolist())) == n - len(best)
+    assert set(range(n)) - set(gone.tolist()) == {r for _, r in best.values()}
+    back = zip(*(x.tolist() for x in table.identifier(table.taken())))
+    assert set(back) == set(zip(high.tolist(), low.tolist(), code.tolist()))
+    q, rest = table.cut(high)
+    assert len({*zip(q.tolist(), rest.tolist(), low.tolist(), wide.tolist())}) == len({*zip(a.tolist(), b.tolist())})
+    shard = int(high[0] >> np.uint64(64 - exactly_once.SHARD_BITS))
+    table.keep_shard(shard)
+    assert set(table.row[table.taken()].tolist()) == {r for (x, y, c), (_, r) in best.items() if int(exactly_once.identifiers(np.array([x]), np.array([y]))[0][0] >> np.uint64(44)) == shard}
+
+
+def test_rows_of_one_shard_that_span_many_batches():
+    rng = random.Random(6)
+    rows = [(5 if rng.random() < 0.4 else rng.randrange(300), T0, "ab"[rng.randrange(2)], rng.randrange(50), k) for k in range(4000)]
+    staged = []
+    for k in range(0, 4000, 500):  # eight scan tasks
+        a, b, f, rec, row = map(list, zip(*rows[k : k + 500]))
+        staged += exactly_once.local_pass(iter([pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "feed": f, "received": pa.array(rec, pa.int64()), "row_id": pa.array(row, pa.int64())})]))
+    whole = pa.Table.from_batches(staged)
+    high = [None if v is None else v % 2**64 >> 44 for v in whole["high"].to_pylist()]
+    order = sorted(range(len(high)), key=lambda i: -1 if high[i] is None else high[i])
+    cut = whole.take(order).combine_chunks().to_batches(max_chunksize=7)
+    got = sorted(v for b in exactly_once.shard_pass(iter(cut)) for v in b["row_id"].to_pylist())
+    best = {}
+    for m, t, f, rec, row in rows:
+        best[m, f] = min(best.get((m, f), (rec, row)), (rec, row))
+    assert got == sorted(set(range(4000)) - {r for _, r in best.values()})
