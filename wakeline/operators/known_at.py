@@ -160,11 +160,19 @@ def filler_lists(placeholders: DataFrame, most: int = 10_000) -> dict[str, list[
     return out
 
 
+def code_list(table: DataFrame, column: str, most: int = 1_000) -> list[int]:
+    """Distinct codes of a fixed reference list; its size is checked, so none is left out silently."""
+    rows = table.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} is not a list of codes: more than {most}")
+    return sorted(r[0] for r in rows)
+
+
 def static_fields(spark, sf_dir: str, fields=("vessel_name", "ship_type")) -> DataFrame:
     """ais_static as one row per filled field: mmsi, field, valid, known, static_id."""
     s = spark.read.parquet(f"{sf_dir}/ais_static.parquet")
     names = filler_lists(spark.read.parquet(f"{sf_dir}/placeholders.parquet"))
-    types = [r[0] for r in spark.read.parquet(f"{sf_dir}/coarsetype_ref.parquet").select("coarse_type").where("coarse_type is not null").limit(1001).collect()]
+    types = code_list(spark.read.parquet(f"{sf_dir}/coarsetype_ref.parquet"), "coarse_type")
     full = {
         "vessel_name": filled_text(s.vessel_name, names.get("vessel_name", [])),
         "call_sign": filled_text(s.call_sign, names.get("call_sign", [])),
