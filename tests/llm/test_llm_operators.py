@@ -188,14 +188,39 @@ def test_best_and_summed_votes(spark):
     ]
     df = spark.createDataFrame(rows, "grp string, a string, b string, trust int, time long, id long").withColumn("value", F.lit("clash"))
     long = survivor.unpivoted(df, ["grp"], {"a": (F.col("a"), F.col("a").isNotNull()), "b": (F.col("b"), F.col("b").isNotNull())}, F.col("trust"), F.col("time"), F.col("id"))
-    best = {(r.grp, r.field_name): r.ident for r in survivor.best_votes(long, ["grp"]).collect()}
+    two = ["a", "b"]
+    best = {(r.grp, r.field_name): r.ident for r in survivor.best_votes(long, ["grp"], two).collect()}
     assert best == {("g", "a"): 1, ("g", "b"): 5, ("i", "a"): 8, ("i", "b"): 8}
-    won = survivor.summed_votes(long, ["grp"], 1e9)
-    out = {r.grp: (r.a, r.b) for r in survivor.pivoted(won, ["grp"], ["a", "b"]).collect()}
+    records = survivor.survivors(survivor.summed(long, ["grp"], 1e9), ["grp"], two)
+    out = {r.grp: (r.a.value, r.b.value) for r in records.collect()}
     assert out["g"][0] == "ALFA" and out["i"] == ("ALFA", "x") and "h" not in out  # 20 against 15
-    fast = survivor.summed_votes(long, ["grp"], 10.0)
+    fast = survivor.summed_votes(long, ["grp"], two, 10.0)
     assert {(r.grp, r.field_name): r.value for r in fast.collect()}["g", "a"].strip().upper() == "BETA"
-    assert survivor.best_votes(long.limit(0), ["grp"]).count() == 0
+    assert survivor.best_votes(long.limit(0), ["grp"], two).count() == 0
+
+
+def test_summed_votes_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    day = 86_400
+    rows = [(rng.choice(["g", "g", "g", "h", None]), rng.choice(["x", "X ", "y", "z", None]), rng.randrange(1, 5), 1_073_000_000 + rng.randrange(400) * day, k) for k in range(600)]
+    rows += [("far", "x", 1, 9_000_000_000, 1000), ("far", "y", 1, 9_000_000_000, 1001), ("far", "old", 4, 0, 1002)]  # no power overflows; a tie
+    df = spark.createDataFrame(rows, "grp string, a string, trust int, time long, id long")
+    long = survivor.unpivoted(df, ["grp"], {"a": (F.col("a"), F.col("a").isNotNull())}, F.col("trust"), F.col("time"), F.col("id"))
+    got = {r.grp: (r.value, r.ident) for r in survivor.summed_votes(long, ["grp"], ["a"]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g and r[1] is not None]
+        newest = max(r[3] for r in own)
+        votes, best = {}, {}
+        for _, a, trust, t, k in own:
+            n = a.strip().upper()
+            votes[n] = votes.get(n, 0) + trust * 2 ** ((t - newest) / survivor.HALF_LIFE_S)
+            best[n] = max(best.get(n, (0,)), (trust, t, -k, a))
+        top = max(votes, key=lambda n: (round(votes[n], 4), best[n]))
+        want[g] = (best[top][3], -best[top][2])
+    assert got == want
 
 
 def test_imo_check_digit(spark):

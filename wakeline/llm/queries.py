@@ -17,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"p7_found": survivor.P7_SQL}
+    return {"p7_found": survivor.P7_SQL, "p7_survivors": survivor.P7_SURVIVORS_SQL}
