@@ -221,6 +221,21 @@ def test_recurring_place_has_one_number(spark):
     assert len(stops) == 3 and stops[0].place == stops[2].place != stops[1].place
 
 
+def test_places_of_many_visits_take_linear_time():
+    import time
+
+    rng = np.random.default_rng(3)
+    n = 100_000
+    lon = np.where(np.arange(n) % 2 == 0, 179.9999, -60.0) + rng.normal(0, 0.0002, n)
+    lat = np.where(np.arange(n) % 2 == 0, 10.0, 45.0) + rng.normal(0, 0.0002, n)
+    began = time.time()
+    label = stays.communities((lon + 180) % 360 - 180, lat, np.ones(n))
+    assert time.time() - began < 30
+    assert np.bincount(label[::2]).max() > 0.99 * n / 2 and np.bincount(label[1::2]).max() > 0.99 * n / 2 and label[0] != label[1]
+    apart = stays.communities(np.arange(3000) * 0.1 - 150, np.zeros(3000), np.ones(3000))
+    assert len(set(apart.tolist())) == 3000
+
+
 def test_stays_edges(spark):
     assert stays.stops_and_trips(spark.createDataFrame([], REPORT)).count() == 0
     rows = [[1, None, T0, 1.0, 1.0, 0.0], [2, M, None, 1.0, 1.0, 0.0], [3, M, T0, None, 1.0, 0.0], [4, M, T0, 181.0, 91.0, 0.0], [5, M, T0, 1.0, 1.0, None]]

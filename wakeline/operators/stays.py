@@ -5,8 +5,9 @@ median) are found on the track that is left after implausible positions are
 taken out; only fragments long enough, or touching the edge of the day, go on.
 Per vessel their medians form a proximity graph whose communities are the
 recurring places; contiguous fragments of one place are joined into visits, and
-the time between two visits is a trip.  The second step sees a handful of rows
-per vessel-day, however many reports a vessel sends.
+the time between two visits is a trip.  The second step sees at most some fifty
+rows per vessel-day (stays of half an hour and the ends of the day), however many
+reports a vessel sends, and is linear in them.
 """
 
 from __future__ import annotations
@@ -135,34 +136,61 @@ def fragments(table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(list(v), k) for n, v, k in zip(names, cols, kinds)})
 
 
+def near_nodes(xyz: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, neighbours): of each point on the sphere the points within ``reach`` metres (itself too), by cubes of that size."""
+    n = len(xyz)
+    cube = np.floor(xyz / reach).astype(np.int64) + (1 << 20)
+    code = (cube[:, 0] << 42) | (cube[:, 1] << 21) | cube[:, 2]
+    order = np.argsort(code, kind="stable")
+    line = code[order]
+    left, right = [], []
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            for dz in (-1, 0, 1):
+                want = code + (dx << 42) + (dy << 21) + dz
+                lo, hi = np.searchsorted(line, want, "left"), np.searchsorted(line, want, "right")
+                size = hi - lo
+                i = np.repeat(np.arange(n), size)
+                j = order[np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+                ok = ((xyz[i] - xyz[j]) ** 2).sum(1) <= reach * reach
+                left.append(i[ok])
+                right.append(j[ok])
+    i, j = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((j, i))
+    return np.searchsorted(i[order], np.arange(n + 1)), j[order]
+
+
 def communities(lon: np.ndarray, lat: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Labels by weighted label propagation on the graph of medians within RADIUS_M."""
-    n = len(lon)
-    label = np.arange(n)
-    cell = RADIUS_M / 111195.08
-    wide = np.maximum(np.cos(np.radians(lat)), 0.01)
-    cells: dict[tuple[int, int], list[int]] = defaultdict(list)
-    rowno = np.floor(lat / cell).astype(int)
-    for i in range(n):
-        cells[rowno[i], int(np.floor(lon[i] * wide[i] / cell))].append(i)
-    near: list[np.ndarray] = []
-    for i in range(n):
-        cand = [j for dy in (-1, 0, 1) for dx in (-2, -1, 0, 1, 2) for j in cells.get((rowno[i] + dy, int(np.floor(lon[i] * wide[i] / cell)) + dx), ())]
-        cand = np.array(cand)
-        near.append(cand[distance(lon[i], lat[i], lon[cand], lat[cand]) <= RADIUS_M])
-    for _ in range(20):
-        changed = False
-        for i in np.argsort(-weight, kind="stable"):
+    """Labels by weighted label propagation on the graph of medians within RADIUS_M.
+
+    Medians of one fine cell are one node with the sum of their weights, so that any
+    number of visits to a berth is a handful of nodes.  Every change of a label
+    raises the weight of the edges whose ends agree (a node's own vote counts), so
+    the propagation ends by itself.
+    """
+    la, lo = np.radians(lat), np.radians(lon)
+    xyz = 6371008.8 * np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], 1)
+    cell, node = np.unique(np.floor(xyz / (RADIUS_M / 4)).astype(np.int64), axis=0, return_inverse=True)
+    node = node.ravel()
+    heavy = np.bincount(node, weights=weight, minlength=len(cell))
+    middle_of = np.stack([np.bincount(node, weights=weight * xyz[:, k], minlength=len(cell)) for k in range(3)], 1) / heavy[:, None]
+    start, other = near_nodes(middle_of, RADIUS_M)
+    near = [other[a:b].tolist() for a, b in zip(start[:-1], start[1:])]
+    label, mass = list(range(len(cell))), heavy.tolist()
+    todo = np.argsort(-heavy, kind="stable").tolist()
+    rank = {k: r for r, k in enumerate(todo)}
+    while todo:
+        stirred: set[int] = set()
+        for i in todo:
             votes: dict[int, float] = defaultdict(float)
             for j in near[i]:
-                votes[int(label[j])] += float(weight[j])
+                votes[label[j]] += mass[j]
             best = min(votes, key=lambda k: (-votes[k], k))
-            if best != label[i]:
+            if best != label[i] and votes[best] >= votes[label[i]]:
                 label[i] = best
-                changed = True
-        if not changed:
-            break
-    return np.unique(label, return_inverse=True)[1]
+                stirred.update(near[i])
+        todo = sorted(stirred, key=rank.__getitem__)
+    return np.unique(label, return_inverse=True)[1].ravel()[node]
 
 
 def visits(table: pa.Table) -> pa.Table:
