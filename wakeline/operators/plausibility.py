@@ -31,7 +31,6 @@ KNOT = 1852 / 3600
 SLACK_M = 500.0  # position noise allowed on top of the pace
 PACE_KN = 40.0  # least pace allowed for any vessel
 SOG_TOL = 6.0  # least departure of a speed from what positions and neighbours say
-ROUNDS = 8
 
 
 def distance(lon1, lat1, lon2, lat2):
@@ -158,9 +157,7 @@ def position_spikes(group, t, lon, lat) -> tuple[np.ndarray, np.ndarray]:
     bad = np.zeros(n, dtype=bool)
     pace_all = np.full(n, PACE_KN * KNOT)
     left = np.arange(n)
-    for _ in range(ROUNDS):
-        if len(left) < 3:
-            break
+    while len(left) >= 3:  # every round but the last takes a report out
         g = np.cumsum(key_change([group[left]])) - 1
         tt, lo, la = t[left], lon[left], lat[left]
         x = unwrap(g, lo)
@@ -183,9 +180,10 @@ def position_spikes(group, t, lon, lat) -> tuple[np.ndarray, np.ndarray]:
             hit |= (2 * (far & have)[:, cols].sum(1) > seen) & (seen >= 2)
         if not hit.any():
             break
-        new = left[i[hit]]
-        bad[new] = True
-        left = left[~np.isin(np.arange(len(left)), i[hit])]
+        bad[left[i[hit]]] = True
+        # only groups that lost a report can come to another verdict
+        left = left[np.isin(g, g[i[hit]])]
+        left = left[~bad[left]]
     return bad, pace_all
 
 
@@ -311,9 +309,7 @@ def judge_speed(c: dict, good: np.ndarray) -> np.ndarray:
     known = ~np.isnan(gap)
     bad = np.zeros(len(s), dtype=bool)
     left = np.arange(len(s))
-    for _ in range(ROUNDS):
-        if len(left) < 3:
-            break
+    while len(left) >= 3:
         g = np.cumsum(key_change([sk[left]])) - 1
         v = sv[left]
         nb = neighbours(g, 3)
@@ -326,7 +322,8 @@ def judge_speed(c: dict, good: np.ndarray) -> np.ndarray:
         if not hit.any():
             break
         bad[left[hit]] = True
-        left = left[~hit]
+        left = left[np.isin(g, g[hit])]
+        left = left[~bad[left]]
     # stuck: a run of one value which the track's pace contradicts
     run, size = runs(sk, sv)
     start = np.flatnonzero(key_change([run]))
