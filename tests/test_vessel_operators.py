@@ -164,6 +164,26 @@ def test_near_pairs_against_brute_force(spark, hot):
     assert len(got) == len(set(got)) and set(got) == brute_near(pts)
 
 
+def test_a_crowded_cell_copies_rows_at_borders_only(spark, monkeypatch):
+    """A third of all rows in one coarse cell, spread over it: fine cells, no pairs of blocks."""
+    rng = random.Random(9)
+    pts = [(k, rng.randrange(50), T0 + 21_600 * 5 + rng.randrange(200, 20_000), 7.02 + rng.random() * 0.4, 45.05 + rng.random() * 0.4) for k in range(4000)]
+    pts += [(4000 + k, rng.randrange(50), pts[k][2] + rng.randrange(-100, 100), pts[k][3] + 0.001, pts[k][4]) for k in range(2000)]
+    seen = {}
+    real = proximity.grouped_blocks
+    monkeypatch.setattr(proximity, "grouped_blocks", lambda df, *a, **k: (seen.update(n=df.count(), two=df.agg(F.max("two")).first()[0]), real(df, *a, **k))[1])
+    got = [(r.left_id, r.right_id) for r in proximity.near(spark.createDataFrame(pts, POINT), spark.createDataFrame([], ZONE), 250.0, 120, 500).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_near(pts)
+    assert seen["two"] == 0 and seen["n"] < 4 * len(pts)
+
+
+def test_too_many_zones_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "MOST_ZONES", 2)
+    zones = spark.createDataFrame([(1, None, None), (2, [0.0, 1.0, 1.0], [0.0, 0.0, 1.0]), (3, [0.0, 1.0, 1.0], [0.0, 0.0, 1.0])], ZONE)
+    with pytest.raises(ValueError):
+        proximity.near(spark.createDataFrame([], POINT), zones, 1.0, 0)
+
+
 def test_points_in_zones(spark):
     rng = random.Random(2)
     pts = [(k, 1, T0, rng.uniform(-1, 3), rng.uniform(-1, 3)) for k in range(2000)]

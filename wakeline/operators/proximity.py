@@ -1,8 +1,11 @@
 """Points near other points and inside regions: a distributed dual-tree join.
 
 Space and time are cut into coarse cells; every point goes to its own cell and
-to those whose border it can reach.  Cells that hold very many points are cut
-into blocks, and every pair of blocks is a task of its own.  In a task the
+to those whose border it can reach.  A cell that holds very many points is cut
+into fine cells of space and time, again with copies at the borders only.  What
+is still crowded then lies so close together that the pairs asked for are a fixed
+share of all pairs: such a fine cell is cut into blocks, and every pair of blocks
+is a task of its own.  In a task the
 points (tracks along a space-filling curve, each in order of time) form a balanced tree of
 bounding boxes, and two trees are walked together level by level: pairs of nodes
 that cannot meet are thrown away, pairs that lie near each other as a whole are
@@ -27,7 +30,10 @@ EARTH_M = 6371008.8
 LEAF = 8
 CELL_DEG = 1.0  # height of a cell; its width covers at least as many metres
 SLOT_S = 6 * 3600
-HOT_ROWS = 200_000  # a cell with more rows is cut into blocks of about this size
+FINE_CELLS, FINE_SLOTS = 6, 5  # a fine cell is at least so many reaches high and wide, a fine slot so many long
+HOT_ROWS = 200_000  # a cell with more rows is cut into fine cells, a fine cell into blocks of about this size
+MOST_ZONES = 100_000  # regions held by every task
+M_PER_DEG = EARTH_M * np.pi / 180
 MOST_HOT = 20_000  # hot cells looked up by broadcast; beyond that by a join
 PAIR_STEP = 2_000_000  # node or point pairs handled at once
 
@@ -246,34 +252,85 @@ def join_block(metres: float, within_s: int, zones):
     return run
 
 
-def cell_of(lon: Column, lat: Column, slot: Column, deg: float) -> Column:
-    """One number for (slot, band of latitude, column of longitude); columns widen towards the poles."""
-    bands = int(180 / deg)
-    edge = np.maximum(np.abs(np.arange(bands) * deg - 90), np.abs(np.arange(1, bands + 1) * deg - 90))
-    widths = [max(1, int(np.floor(360 / deg * np.cos(np.radians(e))))) for e in edge]
-    band = F.least(F.greatest(F.floor((lat + 90) / deg), F.lit(0)), F.lit(bands - 1)).cast("int")
-    columns = F.element_at(F.lit(widths), band + 1)
-    col = F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * columns), columns - 1).cast("long")
-    return slot * 1_048_576 + band * 1024 + col
-
-
-def cells_in_reach(metres: float, within_s: int, deg: float = CELL_DEG, slot_s: int = SLOT_S) -> tuple[Column, Column]:
-    """(home cell, distinct cells a row of (lon, lat, t) can reach)."""
-    lon, lat, t = F.col("lon"), F.col("lat"), F.col("t")
-    dy = metres / EARTH_M * 180 / np.pi * 1.001
-    dx = F.least(F.lit(180.0), dy / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + dy, F.lit(89.999)))), F.lit(1e-5)))
-    slot = lambda v: F.floor(v / slot_s).cast("long")
-    home = cell_of(lon, lat, slot(t), deg)
-    # most rows lie well inside their cell; a cell is at least deg degrees of longitude wide, counted from -180
-    into_y, into_t = F.pmod(lat + 90, F.lit(deg)), F.pmod(t, F.lit(slot_s))
-    inner = (
-        (into_y > dy) & (into_y < deg - dy) & (into_t >= within_s) & (into_t < slot_s - within_s)
-        & (cell_of(lon - dx, lat, F.lit(0), deg) == cell_of(lon + dx, lat, F.lit(0), deg))
-    )
-    signs = F.lit([f"{x}{y}{z}" for x in "-+" for y in "-+" for z in "-+"])
-    sign = lambda o, i: F.when(F.substring(o, i, 1) == "-", -1).otherwise(1)
-    corners = F.transform(signs, lambda o: cell_of(lon + sign(o, 1) * dx, lat + sign(o, 2) * dy, slot(t + sign(o, 3) * within_s), deg))
-    return home, F.when(inner, F.array(home)).otherwise(F.array_distinct(F.concat(F.array(home), corners)))
+def cell_of(lon: Column, lat: Column, t: Column, deg: float, slot_s: int, parts: tuple[int, int, float] | None = None) -> Column:
+    """One number for (slot, band of latitude, column of longitude); columns widen towards the poles.
+
+    ``parts`` (slots in a slot, bands in a band, least degrees of a column) gives
+    the number of the fine cell: every fine cell lies in one cell as a whole.
+    """
+    bands = max(1, int(180 / deg))
+    band = F.least(F.greatest(F.floor((lat + 90) / deg), F.lit(0)), F.lit(bands - 1)).cast("long")
+    widest = lambda b, d: F.floor(F.cos(F.radians(F.greatest(F.abs(b * d - 90), F.abs((b + 1) * d - 90)))) * (360 / d))
+    columns = F.greatest(F.lit(1), widest(band, deg)).cast("long")
+    along = F.pmod(lon + 180, F.lit(360.0)) / 360 * columns
+    col = F.least(F.floor(along), columns - 1).cast("long")
+    if parts is None:
+        return F.floor(t / slot_s).cast("long") * (1 << 32) + band * (1 << 16) + col
+    slots, rows, least = parts
+    inner = F.least(F.greatest(F.floor((lat + 90 - band * deg) / deg * rows), F.lit(0)), F.lit(rows - 1)).cast("long")
+    fine = band * rows + inner
+    edge = F.greatest(F.abs(fine * (deg / rows) - 90), F.abs((fine + 1) * (deg / rows) - 90))
+    cols = F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * 360 / columns / least)).cast("long")
+    sub = F.least(F.floor((along - col) * cols), cols - 1).cast("long")
+    return F.floor(t / slot_s * slots).cast("long") * (1 << 32) + fine * (1 << 16) + col * cols + sub
+
+
+class Grid:
+    """Cells of ``deg`` degrees and ``slot_s`` seconds, the fine cells in them, and which of them a row of (lon, lat, t) can reach."""
+
+    def __init__(self, metres: float, within_s: int):
+        size = metres / M_PER_DEG
+        self.deg, self.slot_s, self.within_s, self.dy = max(CELL_DEG, 4 * size), max(SLOT_S, 4 * within_s), within_s, size * 1.001
+        # a cell holds a reach twice and more, either way and in time, so the corners of a reach meet all its cells
+        bands = max(1, min(int(self.deg / max(FINE_CELLS * size, 1e-9)), int((1 << 15) * self.deg / 180)))
+        self.parts = (max(1, min(self.slot_s // max(FINE_SLOTS * within_s, 1), self.slot_s // 60)), bands, self.deg / bands)
+
+    def coarse(self, lon: Column, lat: Column, t: Column) -> Column:
+        return cell_of(lon, lat, t, self.deg, self.slot_s)
+
+    def fine(self, lon: Column, lat: Column, t: Column) -> Column:
+        """Numbers of fine cells are negative."""
+        return -1 - cell_of(lon, lat, t, self.deg, self.slot_s, self.parts)
+
+    @property
+    def place(self) -> tuple[Column, Column, Column]:
+        return F.col("lon"), F.col("lat"), F.col("t")
+
+    @property
+    def dx(self) -> Column:
+        return F.least(F.lit(180.0), self.dy / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + self.dy, F.lit(89.999)))), F.lit(1e-5)))
+
+    def corners(self, f) -> Column:
+        """``f(lon, lat, t)`` of the eight corners of what a row can reach: a cell holds a reach twice, so corners meet all its cells."""
+        signs = F.lit([f"{x}{y}{z}" for x in "-+" for y in "-+" for z in "-+"])
+        sign = lambda o, i: F.when(F.substring(o, i, 1) == "-", -1).otherwise(1)
+        return F.transform(signs, lambda o: f(F.col("lon") + sign(o, 1) * self.dx, F.col("lat") + sign(o, 2) * self.dy, F.col("t") + sign(o, 3) * self.within_s))
+
+    def reach(self) -> Column:
+        """Distinct cells in reach; most rows lie well inside their own."""
+        lon, lat, t = self.place
+        into_y, into_t = F.pmod(lat + 90, F.lit(self.deg)), F.pmod(t, F.lit(self.slot_s))
+        inner = (
+            (into_y > self.dy) & (into_y < self.deg - self.dy) & (into_t >= self.within_s) & (into_t < self.slot_s - self.within_s)
+            & (self.coarse(lon - self.dx, lat, t) == self.coarse(lon + self.dx, lat, t))
+        )
+        home = self.coarse(*self.place)
+        return F.when(inner, F.array(home)).otherwise(F.array_distinct(F.concat(F.array(home), self.corners(self.coarse))))
+
+    def fine_reach(self, cell: str) -> Column:
+        """Distinct fine cells in reach that lie in ``cell``."""
+        each = self.corners(lambda x, y, t: F.struct(self.coarse(x, y, t).alias("up"), self.fine(x, y, t).alias("down")))
+        own = F.when(self.coarse(*self.place) == F.col(cell), F.array(self.fine(*self.place))).otherwise(F.array().cast("array<bigint>"))
+        return F.array_distinct(F.concat(own, F.transform(F.filter(each, lambda c: c["up"] == F.col(cell)), lambda c: c["down"])))
+
+
+def crowded(counts: DataFrame, hot_rows: int) -> DataFrame | None:
+    """(cell, blocks) of cells with more than ``hot_rows`` rows; none at all is None, few are broadcast, many are joined."""
+    hot = counts.where(F.col("count") > hot_rows).select("cell", F.ceil(F.col("count") / hot_rows).cast("int").alias("blocks"))
+    first = hot.limit(MOST_HOT + 1).collect()
+    if not first:
+        return None
+    return hot if len(first) > MOST_HOT else F.broadcast(counts.sparkSession.createDataFrame(first, "cell long, blocks int"))
 
 
 def near(points: DataFrame, zones: DataFrame, metres: float, within_s: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -284,37 +341,43 @@ def near(points: DataFrame, zones: DataFrame, metres: float, within_s: int, hot_
     rings with fewer than three points or null vertices hold nothing.  Identical
     positions and repeated reports all count; empty tables give no rows.
     """
-    rings = []
-    for r in zones.select("zone_id", "xs", "ys").where("zone_id is not null and xs is not null and ys is not null").limit(100_001).toLocalIterator():
+    rings, seen = [], 0
+    for r in zones.select("zone_id", "xs", "ys").limit(MOST_ZONES + 1).toLocalIterator():
+        seen += 1
+        if r.zone_id is None or r.xs is None or r.ys is None:
+            continue
         xs, ys = np.array(r.xs, dtype=float), np.array(r.ys, dtype=float)
         if len(xs) >= 3 and len(xs) == len(ys) and not (np.isnan(xs).any() or np.isnan(ys).any()):
             rings.append((int(r.zone_id), xs, ys))
-    if len(rings) > 100_000:
+    if seen > MOST_ZONES:
         raise ValueError("more regions than one task should hold: join them as points of their own")
     pts = points.select("row_id", "mmsi", "t", "lon", "lat").dropna()
-    home, reach = cells_in_reach(metres, within_s)
-    spread = pts.withColumn("_home", home).withColumn("cell", F.explode(reach)).withColumn("home", F.col("cell") == F.col("_home")).drop("_home")
-    # how many blocks each crowded cell is cut into
-    crowded = (
-        pts.groupBy(home.alias("cell")).count().where(F.col("count") > hot_rows)
-        .select("cell", F.ceil(F.col("count") / hot_rows).cast("int").alias("blocks"))
-    )
-    first = crowded.limit(MOST_HOT + 1).collect()
-    if not first:
-        cut = spread.select("*", F.lit(0).alias("block"), F.lit(0).alias("one"), F.lit(0).alias("two"))
+    grid = Grid(metres, within_s)
+    home = grid.coarse(*grid.place)
+    rows = pts.withColumn("cell", F.explode(grid.reach())).withColumn("home", F.col("cell") == home)
+    hot = crowded(pts.groupBy(home.alias("cell")).count(), hot_rows)
+    dense = None
+    if hot is not None:
+        cells = F.when(F.col("blocks").isNull(), F.array("cell")).otherwise(grid.fine_reach("cell"))
+        rows = (
+            rows.join(hot, "cell", "left").withColumn("_cell", F.explode(cells))
+            .withColumn("home", F.col("home") & (F.col("blocks").isNull() | (F.col("_cell") == grid.fine(*grid.place))))
+            .drop("cell", "blocks").withColumnRenamed("_cell", "cell")
+        )
+        dense = crowded(rows.where("home and cell < 0").groupBy("cell").count(), hot_rows)
+    if dense is None:
+        cut = rows.select("*", F.lit(0).alias("block"), F.lit(0).alias("one"), F.lit(0).alias("two"))
     else:
-        if len(first) <= MOST_HOT:
-            crowded = F.broadcast(points.sparkSession.createDataFrame(first, "cell long, blocks int"))
         n = F.coalesce("blocks", F.lit(1))
-        other = F.sequence(F.lit(0), n - 1)
         cut = (
-            spread.join(crowded, "cell", "left")
+            rows.join(dense, "cell", "left")
             .withColumn("block", F.pmod(F.hash("row_id"), n).cast("int"))
-            .withColumn("_o", F.explode(other))
+            .withColumn("_o", F.explode(F.sequence(F.lit(0), n - 1)))
             .withColumn("one", F.least("block", "_o")).withColumn("two", F.greatest("block", "_o"))
             .drop("blocks", "_o")
         )
-    return grouped_blocks(cut, ["cell", "one", "two"], [], join_block(metres, within_s, rings), OUT, rows=100_000)
+    columns = ("cell", "one", "two", "block", "home", "row_id", "mmsi", "t", "lon", "lat")
+    return grouped_blocks(cut.select(*columns), ["cell", "one", "two"], [], join_block(metres, within_s, rings), OUT, rows=100_000)
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
