@@ -135,6 +135,59 @@ def test_leaked_items_in_blocks(spark):
     assert leaks.leaked_items(spark.createDataFrame([], DOC), ii).count() == 0
 
 
+@pytest.mark.parametrize("variants", [1, 3, 4, 9])
+def test_near_variants_of_an_item_all_leak(variants):
+    rng = random.Random(12)
+    base = item(rng, 60).split()
+    items = [" ".join(f"v{v}x{k}" if k % 12 == 11 else w for k, w in enumerate(base)) for v in range(variants)]  # eleven words shared, the twelfth its own
+    assert found([items[0], " ".join(base[:11])], items) == {(0, v) for v in range(variants)}
+
+
+def test_long_item_in_little_memory():
+    import tracemalloc
+
+    rng = random.Random(13)
+    long = [f"w{rng.randrange(5000)}" for _ in range(10_000)]
+    altered = [f"z{k}" if k % 10 == 5 else w for k, w in enumerate(long)]
+    table = leaks.Items([(0, " ".join(long)), (1, item(rng))])
+    tracemalloc.start()
+    got = leaks.leaks_of([" ".join(long), " ".join(altered), " ".join(long[3000:3019]), " ".join(long[:5000] + ["x"] * 50 + long[5000:])], table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 0, 10_000), (1, 0, 10_000), (3, 0, 10_000)] and peak < 100e6
+
+
+def test_dense_windows_against_brute_force():
+    rng = np.random.default_rng(14)
+    for _ in range(300):
+        n = int(rng.integers(20, 90))
+        seg, own = np.flatnonzero(rng.random(n) < rng.choice([0.7, 0.85, 0.95])), rng.random(n) > 0.02
+        seg = seg[own[seg]]
+        best = 0
+        for a in range(len(seg)):
+            for b in range(a, len(seg)):
+                i, j = seg[a], seg[b]
+                if (b - a + 1) >= leaks.SHARE * (j - i + 1) - 1e-9 and own[i : j + 1].all() and (np.diff(seg[a : b + 1]) <= 4).all():
+                    best = max(best, int(j - i + 1))
+        got = leaks.dense(seg, own)
+        assert got == best or max(got, best) < leaks.MIN_WORDS  # short ones are no leak, whatever their length
+
+
+def test_blocks_give_what_one_table_gives(spark):
+    """Stock paragraphs and shared runs are counted over all items, whatever the blocks."""
+    rng = random.Random(15)
+    stock = " ".join(f"s{k}" for k in range(30))
+    base = item(rng).split()
+    items = [(k, item(rng) + ("\n" + stock if k % 2 else "")) for k in range(6)]
+    items += [(10 + v, " ".join(f"v{v}x{k}" if k % 12 == 11 else w for k, w in enumerate(base))) for v in range(5)] + [(20, items[0][1]), (20, items[0][1]), (None, "x"), (30, None), (31, "")]
+    docs = [(0, stock), (1, items[1][1]), (2, items[7][1]), (3, items[0][1]), (4, " ".join(rng.choice(WORDS) for _ in range(3000))), (5, None)]
+    di, ii = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(tuple(r) for r in leaks.leaked_items(di, ii).collect())
+    assert {(d, i) for d, i, _ in want} == {(1, 1), *((2, 10 + v) for v in range(5))}
+    for block in (1, 70, 200):
+        assert sorted(tuple(r) for r in leaks.leaked_items(di, ii, block=block).collect()) == want
+
+
 # -- abuse --------------------------------------------------------------------
 
 LABEL = "text string, label string"
