@@ -134,9 +134,6 @@ class Encoder:
         return bytes(TO_BYTE[c] for c in letters).decode("utf-8", "replace")
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encode_corpus(df: DataFrame, text: str = "text", key: str = "doc_id", path: str = DEFAULT_PATH) -> DataFrame:
     """(key, ids): token ids of every row's whole text, without special tokens.
 
