@@ -226,7 +226,7 @@ def test_frames_never_seen(spark):
     """Frames held out of the fit: what is found is right, and some is found by the words alone."""
     rows = labelled(2)
     apart = lambda t: any(x in t for x in ("get lost", "do not deserve", "horny", "keeps the old order", "sucks"))
-    m = abuse.fit([(k, t) for t, k in rows if not apart(t)])
+    m = abuse.fit(tuple((k, t) for t, k in rows if not apart(t)))
     held = [(t, k) for t, k in rows if apart(t)]
     score, _ = abuse.Scorer(m).score([t for t, _ in held])
     flagged = [k for (_, k), s in zip(held, score) if s >= abuse.THRESHOLD]
@@ -237,7 +237,7 @@ def test_frames_never_seen(spark):
 def test_long_words_have_all_their_grams_and_fitting_reads_no_corpus(model):
     assert len(abuse.features("a" * 24)) + 3 == len(abuse.features("a" * 25)) and len(abuse.features("ab" * 500)) > 2900
     assert abuse.plain_word("m0therf*ckersandmorons") != "0x" and abuse.plain_word("9f86d081884c7d659a2feaa0c55ad015") == "0x"
-    again = abuse.fit(sorted((k, t) for t, k in labelled(1)))
+    again = abuse.fit.__wrapped__(tuple(sorted((k, t) for t, k in labelled(1))))
     assert np.array_equal(again.weights, model.weights)  # nothing but the labels decides
 
 
