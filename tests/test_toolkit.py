@@ -188,11 +188,12 @@ def test_resampling_queries_take_every_track(spark, tmp_path):
         total = np.hypot(np.diff(x), np.diff(y)).sum()
         ways[m] = (math.ceil(total / 50_000) + 1, total)
     q = entry.queries()
-    got = {(r.mmsi, r.time): [r.lon, r.lat, r.sog] for r in q["interp_time_all"](spark, str(tmp_path)).collect()}
+    got = {(r.mmsi, r.time): [r.lon, r.lat, r.sog] for r in q["interp_time"](spark, str(tmp_path)).collect()}
     assert set(got) == set(samples) and all(np.allclose(got[k], samples[k], atol=1e-4, rtol=0) for k in got)
-    got = {r.mmsi: (r.samples, r.metres) for r in q["interp_spacing_all"](spark, str(tmp_path)).collect()}
+    spaced = q["interp_spacing"](spark, str(tmp_path)).groupBy("mmsi").agg(F.count(F.lit(1)).alias("samples"), F.max("way").alias("metres"))
+    got = {r.mmsi: (r.samples, r.metres) for r in spaced.collect()}
     assert set(got) == set(ids) and all(got[m][0] == ways[m][0] and abs(got[m][1] - ways[m][1]) <= 1 for m in ids)
-    assert sorted(map(tuple, q["coarse_types_all"](spark, str(tmp_path)).collect())) == scalar.coarse_types()
+    assert sorted(map(tuple, q["coarse_types"](spark, str(tmp_path)).collect())) == scalar.coarse_types()
 
 
 def test_spline_passes_through_cubics():

@@ -121,14 +121,93 @@ def wetted_surface(dwt: Column, ship_type: Column, generic: Column | None = None
     )
 
 
+# Codes of ship types with their texts, as they are stored.
+COARSE_TYPES = """
+20 Wing In Grnd
+21 Wing In Grnd, hazardous category A
+22 Wing In Grnd, hazardous category B
+23 Wing In Grnd, hazardous category C
+24 Wing In Grnd, hazardous category D
+25 Wing In Grnd
+26 Wing In Grnd
+27 Wing In Grnd
+28 Wing In Grnd
+29 Wing In Grnd
+30 Fishing
+31 Towing
+32 Towing - length >200m or breadth >25m
+33 Dredger
+34 Dive Vessel
+35 Military Ops
+36 Sailing Vessel
+37 Pleasure Craft
+38 Reserved for future use
+39 Reserved for future use
+40 High speed craft
+41 High speed craft, hazardous category A
+42 High speed craft, hazardous category B
+43 High speed craft, hazardous category C
+44 High speed craft, hazardous category D
+45 High speed craft
+46 High speed craft
+47 High speed craft
+48 High speed craft
+49 High speed craft
+50 Pilot vessel
+51 SAR
+52 Tug
+53 Port Tender
+54 Anti-Pollution
+55 Law Enforce
+56 Spare - local vessels
+57 Spare - local vessels
+58 Medical Trans)
+59 Ships and aircraft of States not parties to an armed conflict
+60 Passenger
+61 Passenger, hazardous category A
+62 Passenger, hazardous category B
+63 Passenger, hazardous category C
+64 Passenger, hazardous category D
+65 Passenger
+66 Passenger
+67 Passenger
+68 Passenger
+69 Passenger
+70 Cargo
+71 Cargo, hazardous category A
+72 Cargo, hazardous category B
+73 Cargo, hazardous category C
+74 Cargo, hazardous category D
+75 Cargo
+76 Cargo
+77 Cargo
+78 Cargo
+79 Cargo
+80 Tanker
+81 Tanker, hazardous category A
+82 Tanker, hazardous category B
+83 Tanker, hazardous category C
+84 Tanker, hazardous category D
+85 Tanker
+86 Tanker
+87 Tanker
+88 Tanker
+89 Tanker
+90 Other
+91 Other, hazardous category A
+92 Other, hazardous category B
+93 Other, hazardous category C
+94 Other, hazardous category D
+95 Other
+96 Other
+97 Other
+98 Other
+99 Other
+100 Unknown
+"""
+
+
 def coarse_types() -> list[tuple[int, str]]:
-    """Codes 20 to 100 with their class of vessel; in classes that know cargo hazards, units 1 to 4 name it."""
-    # Classes by decade, and the single codes of the thirties and fifties.
-    decades = {20: "Wing In Grnd", 40: "High speed craft", 60: "Passenger", 70: "Cargo", 80: "Tanker", 90: "Other"}
-    thirties = ["Fishing", "Towing", "Towing - length >200m or breadth >25m", "Dredger", "Dive Vessel", "Military Ops", "Sailing Vessel", "Pleasure Craft", "Reserved for future use", "Reserved for future use"]
-    fifties = ["Pilot vessel", "SAR", "Tug", "Port Tender", "Anti-Pollution", "Law Enforce", "Spare - local vessels", "Spare - local vessels", "Medical Trans)", "Ships and aircraft of States not parties to an armed conflict"]
-    out = {100: "Unknown"}
-    for base, name in decades.items():
-        out |= {base + k: f"{name}, hazardous category {'ABCD'[k - 1]}" if 1 <= k <= 4 else name for k in range(10)}
-    out |= {30 + k: v for k, v in enumerate(thirties)} | {50 + k: v for k, v in enumerate(fifties)}
-    return sorted(out.items())
+    """Codes 20 to 100 with their class of vessel."""
+    lines = (line.partition(" ") for line in COARSE_TYPES.strip().splitlines())
+    return [(int(code), text) for code, _, text in lines]

@@ -15,6 +15,7 @@ from wakeline.operators import aggregates, encoder, filters, joins, resample, si
 from wakeline.operators.normalise import seconds, usable_position
 from wakeline.plans import export, service
 from wakeline.plans.graph import graph
+from wakeline.plans.shipping import fresh_folder
 from wakeline.sources import grids, nmea, places, provider_csv
 from wakeline.streaming import receiver
 
@@ -445,11 +446,12 @@ def edge_enrichment(spark, d):
 _ONE = "one AS (SELECT mmsi, time, arg_min(lon, row_id) AS lon, arg_min(lat, row_id) AS lat, arg_min({{'v': sog}}, row_id).v AS sog FROM pings GROUP BY mmsi, time)".replace("{{", "{").replace("}}", "}")
 _MX, _MY = "6378137e0 * radians({})", "6378137e0 * ln(tan(pi() / 4 + radians({}) / 2))"
 _ILON, _ILAT = "degrees(({}) / 6378137e0)", "degrees(2 * atan(exp(({}) / 6378137e0)) - pi() / 2)"
-_NEAR = f"pings0 AS (SELECT * FROM pings WHERE abs(lat) < 85 AND mmsi IN ({', '.join(map(str, FLEET))}))"
+# Mercator ends near the poles: resampling leaves out positions beyond 85 degrees, on both sides alike
+_NEAR = "pings0 AS (SELECT * FROM pings WHERE abs(lat) < 85)"
 
 
-def _fleet(spark, d):
-    return pings(spark, d).where((F.abs("lat") < 85) & F.col("mmsi").isin(*FLEET))
+def _sailed(spark, d):
+    return pings(spark, d).where(F.abs("lat") < 85)
 
 
 @query(f"""WITH {PINGS}, {_NEAR}, {_ONE.replace('FROM pings ', 'FROM pings0 ')},
@@ -460,7 +462,7 @@ j AS (SELECT g.mmsi, g.gt, l.*, CASE WHEN l.nt IS NOT NULL THEN (g.gt - l.time)
 SELECT mmsi, gt AS time, round({_ILON.format('CASE WHEN f IS NULL THEN x ELSE x + (nx - x) * f END')}, 6) AS lon, round({_ILAT.format('CASE WHEN f IS NULL THEN y ELSE y + (ny - y) * f END')}, 6) AS lat,
   round(CASE WHEN f IS NULL THEN sog ELSE sog + (ns - sog) * f END, 4) AS sog FROM j""")
 def interp_time(spark, d):
-    x = resample.interp_time(_fleet(spark, d), 1800)
+    x = resample.interp_time(_sailed(spark, d), 1800)
     return x.select("mmsi", "time", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("sog", 4).alias("sog"))
 
 
@@ -469,38 +471,23 @@ l AS (SELECT *, lead(time) OVER w AS nt, lead(x) OVER w AS nx, lead(y) OVER w AS
 s AS (SELECT *, coalesce(sqrt(power(nx - x, 2) + power(ny - y, 2)), 0) AS leg FROM l),
 r AS (SELECT *, sum(leg) OVER (PARTITION BY mmsi ORDER BY time ROWS UNBOUNDED PRECEDING) AS b, sum(leg) OVER (PARTITION BY mmsi) AS total FROM s),
 q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY mmsi ORDER BY time), 0) AS a FROM r),
-n AS (SELECT mmsi, count(*) AS samples FROM (SELECT mmsi, unnest(generate_series(CAST(ceil(a / 50000e0) AS BIGINT), CAST(ceil(b / 50000e0) AS BIGINT) - 1)) FROM q WHERE nt IS NOT NULL AND total > 50000 AND ceil(a / 50000e0) <= ceil(b / 50000e0) - 1) GROUP BY mmsi)
-SELECT n.mmsi, n.samples + 1 AS samples, round(max(q.total), 0) AS metres FROM n JOIN q ON q.mmsi = n.mmsi GROUP BY n.mmsi, n.samples""")
+w AS (SELECT *, unnest(CASE WHEN nt IS NULL THEN [total] ELSE [k * 50000e0 FOR k IN generate_series(CAST(ceil(a / 50000e0) AS BIGINT), CAST(ceil(b / 50000e0) AS BIGINT) - 1)] END) AS way FROM q WHERE total > 50000),
+f AS (SELECT *, CASE WHEN nt IS NULL THEN 0 ELSE (way - a) / leg END AS f FROM w)
+SELECT mmsi, round(way, 1) AS way, round(CASE WHEN nt IS NULL THEN time ELSE time + (nt - time) * f END, 1) AS time, round({_ILON.format('CASE WHEN nt IS NULL THEN x ELSE x + (nx - x) * f END')}, 6) AS lon,
+  round({_ILAT.format('CASE WHEN nt IS NULL THEN y ELSE y + (ny - y) * f END')}, 6) AS lat FROM f""")
 def interp_spacing(spark, d):
-    x = resample.interp_spacing(_fleet(spark, d), 50_000)
-    return x.groupBy("mmsi").agg(F.count(F.lit(1)).alias("samples"), F.round(F.max("way"), 0).alias("metres"))
-
-
-def _sailed(spark, d):
-    return pings(spark, d).where(F.abs("lat") < 85)
-
-
-# Every track, without SQL; that of the two queries above is confined to the fleet.
-@query()
-def interp_time_all(spark, d):
-    x = resample.interp_time(_sailed(spark, d), 1800)
-    return x.select("mmsi", "time", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("sog", 4).alias("sog"))
-
-
-@query()
-def interp_spacing_all(spark, d):
     x = resample.interp_spacing(_sailed(spark, d), 50_000)
-    return x.groupBy("mmsi").agg(F.count(F.lit(1)).alias("samples"), F.round(F.max("way"), 0).alias("metres"))
+    return x.select("mmsi", F.round("way", 1).alias("way"), F.round("time", 1).alias("time"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 @query()
 def geo_interp_azimuth(spark, d):
-    return resample.geo_interp_time(pings(spark, d).where(F.abs("lat") < 85), 1800).select("mmsi", "time", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("cog", 3).alias("cog"))
+    return resample.geo_interp_time(_sailed(spark, d), 1800).select("mmsi", "time", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("cog", 3).alias("cog"))
 
 
 @query()
 def cubic_spline(spark, d):
-    p = tracks.split_timedelta(pings(spark, d).where(F.abs("lat") < 85), 86_400)
+    p = tracks.split_timedelta(_sailed(spark, d), 86_400)
     return resample.interp_cubic_spline(p, 1800, ("sog",), ("mmsi", "idx")).select("mmsi", "idx", "time", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
@@ -579,13 +566,12 @@ def hex_cells(spark, d):
     return pings(spark, d).where(F.abs("lat") < 85).groupBy(q.cast("long").alias("q"), r.cast("long").alias("r")).agg(F.count(F.lit(1)).alias("pings"))
 
 
-@query("SELECT coarse_type, coarse_type_txt FROM (VALUES (20, 'Wing In Grnd'), (31, 'Towing'), (52, 'Tug'), (71, 'Cargo, hazardous category A'), (84, 'Tanker, hazardous category D'), (100, 'Unknown')) t(coarse_type, coarse_type_txt)")
+@query("""SELECT CAST(c AS INTEGER) AS coarse_type, CASE WHEN c = 100 THEN 'Unknown'
+  WHEN c BETWEEN 30 AND 39 THEN ['Fishing', 'Towing', 'Towing - length >200m or breadth >25m', 'Dredger', 'Dive Vessel', 'Military Ops', 'Sailing Vessel', 'Pleasure Craft', 'Reserved for future use', 'Reserved for future use'][c - 29]
+  WHEN c BETWEEN 50 AND 59 THEN ['Pilot vessel', 'SAR', 'Tug', 'Port Tender', 'Anti-Pollution', 'Law Enforce', 'Spare - local vessels', 'Spare - local vessels', 'Medical Trans)', 'Ships and aircraft of States not parties to an armed conflict'][c - 49]
+  ELSE ['Wing In Grnd', '', 'High speed craft', '', 'Passenger', 'Cargo', 'Tanker', 'Other'][c // 10 - 1] || CASE WHEN c % 10 BETWEEN 1 AND 4 THEN ', hazardous category ' || 'ABCD'[c % 10] ELSE '' END END AS coarse_type_txt
+  FROM (SELECT unnest(generate_series(20, 100)) AS c)""")
 def coarse_types(spark, d):
-    return spark.createDataFrame(scalar.coarse_types(), "coarse_type int, coarse_type_txt string").where(F.col("coarse_type").isin(20, 31, 52, 71, 84, 100))
-
-
-@query()
-def coarse_types_all(spark, d):
     return spark.createDataFrame(scalar.coarse_types(), "coarse_type int, coarse_type_txt string")
 
 
@@ -670,11 +656,7 @@ def noaa_csv(spark, d):
 
 def _stream(spark, d: str, build, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over the reports to its end and read what it wrote (in the shared folder of the session)."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()  # unset only in tests
-    out = f"{shared.rstrip('/')}/stream_{name}_{uuid.uuid4().hex}"
+    out = fresh_folder(spark, f"stream_{name}")
     batch = table(spark, d, "ais_dynamic")
     # the reader of streams takes folders and patterns, and tables may be either a file or a folder
     src = spark.readStream.schema(batch.schema).parquet(f"{d}/ais_dynamic.parque[t]")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -13,6 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 import wakeline
 
 _shipped: set[str] = set()
+_own_folder: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and workers share, named by spark.checkpoint.dir; where all is one machine, a folder of its own."""
+    set_one = spark.conf.get("spark.checkpoint.dir", None)
+    if set_one:
+        return set_one.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and workers share")
+    return _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp())
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,18 +41,12 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
-    name = f"wakeline_{sc.applicationId}.zip"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{name}")
-        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(body.getvalue()))
-        out.close()
-        sc.addPyFile(f"{shared.rstrip('/')}/{name}")
-    else:  # no cluster: tests and single machines
-        local = Path(tempfile.mkdtemp()) / name
-        local.write_bytes(body.getvalue())
-        sc.addPyFile(str(local))
+    target = f"{shared_folder(spark)}/wakeline_{sc.applicationId}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(body.getvalue()))
+    out.close()
+    sc.addPyFile(target)
     _shipped.add(sc.applicationId)
 
 

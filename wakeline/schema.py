@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names and types of the stored columns.
 DYNAMIC = "mmsi long, time long, longitude double, latitude double, rot double, sog double, cog double, heading double, maneuver boolean, utc_second int, source string"
 STATIC = (
     "mmsi long, time long, vessel_name string, ship_type int, call_sign string, imo long, dim_bow int, dim_stern int, dim_port int, dim_star int, "
@@ -15,7 +16,6 @@ REGISTRY = (
 AGGREGATED = (
     "imo", "vessel_name", "ship_type", "call_sign", "dim_bow", "dim_stern", "dim_port", "dim_star", "draught", "destination", "eta_month", "eta_day", "eta_hour", "eta_minute",
 )
-STATIC_COLS = ("mmsi", "vessel_name", "ship_type", "ship_type_txt", "dim_bow", "dim_stern", "dim_port", "dim_star", "imo", "maneuver", "call_sign", "draught", "destination", "label")
 #: Keys by which a repeated row is the same row, by flavour of the store.
 DYNAMIC_KEY = {"strict": ("mmsi", "time", "longitude", "latitude", "sog", "cog", "source"), "position": ("mmsi", "time", "longitude", "latitude")}
 STATIC_KEY = {"strict": ("mmsi", "time", "imo", "source"), "time": ("mmsi", "time")}
