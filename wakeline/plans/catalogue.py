@@ -108,19 +108,22 @@ ck AS (SELECT *, CAST(sum(c) OVER (PARTITION BY mmsi ORDER BY time, row_id ROWS
 cl AS (SELECT *, max(kk) OVER (PARTITION BY mmsi) AS last FROM ck),
 tr AS (SELECT *, edge = last AS final FROM (SELECT *, kk AS edge FROM cl UNION ALL SELECT *, kk - 1 AS edge FROM cl WHERE c = 1 AND kk > 1) WHERE edge > 0 OR last = 0)"""
 
-Q: dict = {}
-SQL: dict = {}
+def registrar(queries: dict, texts: dict):
+    """A decorator that registers a query under its function's name, with its SQL."""
+    def query(sql: str | None = None, name: str | None = None):
+        def add(f):
+            key = name or f.__name__
+            queries[key] = f
+            if sql:
+                texts[key] = sql
+            return f
+        return add
+    return query
 
 
-def query(sql: str | None = None, name: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-    def add(f):
-        key = name or f.__name__
-        Q[key] = f
-        if sql:
-            SQL[key] = sql
-        return f
-    return add
+Q: dict = {}
+SQL: dict = {}
+query = registrar(Q, SQL)
 
 
 # -- predicates and filters -------------------------------------------------

@@ -125,9 +125,12 @@ def sixbit_text(v: Column, start: int, chars: int) -> Column:
 
 def decoded(messages: DataFrame) -> DataFrame:
     """Messages with msg_type, mmsi and the payload's numbers ``v``; only types that are used."""
-    x = messages.withColumn("v", numbers(F.col("payload")))
-    x = x.withColumn("msg_type", bits(F.col("v"), 0, 6).cast("int")).where(F.col("msg_type").isin(*DYNAMIC_TYPES, *STATIC_TYPES))
-    return x.withColumn("mmsi", bits(F.col("v"), 8, 30)).where(F.col("mmsi").isNotNull())
+    first = F.ascii("payload") - 48
+    kind = F.when(first > 40, first - 8).otherwise(first)
+    # the type is the first character, and mmsi ends in the seventh: both are known without unpacking the rest
+    x = messages.where(kind.isin(*DYNAMIC_TYPES, *STATIC_TYPES) & (F.length("payload") >= 7)).withColumn("msg_type", kind.cast("int"))
+    x = x.withColumn("v", numbers(F.col("payload")))
+    return x.withColumn("mmsi", bits(F.col("v"), 8, 30))
 
 
 def dynamic_rows(messages: DataFrame, source: str, keep_nulls: bool = False) -> DataFrame:

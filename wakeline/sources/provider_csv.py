@@ -26,8 +26,13 @@ def read_rows(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def cells(line: Column) -> Column:
-    raw = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(raw, lambda v: F.regexp_replace(F.trim(v), r'^"(.*)"$', "$1"))
+    """Cells of a line; commas and spaces inside double quotes belong to their cell, the quotes go.
+
+    Every second piece between quotes is inside: its commas and spaces are put out of
+    the way before the line is cut, so a line is gone through a fixed number of times.
+    """
+    inside = F.transform(F.split(line, '"'), lambda piece, i: F.when(i % 2 == 1, F.translate(piece, ", ", "\u0001\u0002")).otherwise(piece))
+    return F.transform(F.split(F.array_join(inside, ""), ","), lambda v: F.translate(F.trim(v), "\u0001\u0002", ", "))
 
 
 def cell(layout: dict[str, int], name: str) -> Column:
