@@ -348,6 +348,146 @@ def test_receiver_end_to_end(spark, tmp_path):
     assert out and '"heading":-1' in out[0]
 
 
+def test_fragments_of_one_second_and_stale_ones():
+    import pandas as pd
+
+    class State:
+        def __init__(self, value=None):
+            self.value, self.hasTimedOut = value, False
+
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+
+        def update(self, v):
+            self.value = v
+
+        def remove(self):
+            self.value = None
+
+        def setTimeoutTimestamp(self, t):
+            self.until = t
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    def run(rows, state):
+        out = list(receiver.join_fragments(("1", "A", 2), iter([pd.DataFrame(rows, columns=["no", "payload", "time"])]), state))
+        return [tuple(r) for p in out for r in p[["time", "payload"]].itertuples(index=False)]
+
+    s = State()
+    assert run([(1, "a", 5), (2, "b", 5), (1, "c", 5), (2, "d", 5)], s) == [(5, "ab"), (5, "cd")] and not s.exists
+    assert run([(1, "lost", 6)], s) == [] and s.exists
+    assert run([(1, "x", 9), (2, "y", 9)], s) == [(9, "xy")]  # not with the part of another message
+    s = State()
+    assert run([(1, "a", 5)], s) == [] and run([(2, "b", 6)], s) == [(6, "ab")] and not s.exists
+
+
+def test_failed_batch_can_be_tried_again(spark, tmp_path, monkeypatch):
+    src, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    src.mkdir()
+    (src / "1.txt").write_text("\n".join([LINE, PART1, PART2]))
+    lines = spark.readStream.text(str(src)).select(F.col("value").alias("line"), F.current_timestamp().alias("arrival"))
+    monkeypatch.setattr(store, "insert", lambda *a, **k: 1 / 0)
+    receiver.start(lines, store, str(tmp_path / "ck"), interval=None).awaitTermination()
+    monkeypatch.undo()
+    assert store.dynamic().count() == 0
+    receiver.retry(spark, store)
+    receiver.retry(spark, store)
+    assert store.dynamic().count() == 1 and store.static().first().vessel_name == "EVER DIADEM"
+
+
+def test_lines_from_datagrams(spark, tmp_path):
+    import socket
+    import time
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as probe:
+        probe.bind(("127.0.0.1", 0))
+        port = probe.getsockname()[1]
+    spark.dataSource.register(receiver.UdpSource)
+    q = spark.readStream.format("udp_lines").option("host", "127.0.0.1").option("port", port).load().writeStream.format("memory").queryName("datagrams").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until:
+            receiver.to_udp("127.0.0.1", port)(spark.createDataFrame([("one",), ("two",)], "value string"), 0)
+            if {r.line for r in spark.table("datagrams").collect()} == {"one", "two"}:
+                break
+            time.sleep(1)
+        assert {r.line for r in spark.table("datagrams").collect()} == {"one", "two"}
+    finally:
+        q.stop()
+
+
+def test_cells_of_provider_lines(spark):
+    from wakeline.sources import provider_csv
+
+    lines = ['1,"A, B", c ,"",', '"x"," y ",""', "", 'a,"b"']
+    got = [list(r[0]) for r in spark.createDataFrame([(v,) for v in lines], "line string").select(provider_csv.cells(F.col("line"))).collect()]
+    assert got == [["1", "A, B", "c", "", ""], ["x", " y ", ""], [""], ["a", "b"]]
+
+
+def lzw(body):
+    """A plain encoder with a growing table, as TIFF wants it."""
+    table, codes, width, word = {bytes([k]): k for k in range(256)}, [(256, 9)], 9, b""
+    n = 258
+    for c in body:
+        one = word + bytes([c])
+        if one in table:
+            word = one
+            continue
+        codes.append((table[word], width))
+        table[one], n, word = n, n + 1, bytes([c])
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        if n == 4094:
+            codes.append((256, width))
+            table, n, width = {bytes([k]): k for k in range(256)}, 258, 9
+    codes += [(table[word], width)]
+    n += 1
+    codes += [(257, 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12)]
+    bits = "".join(format(c, f"0{w}b") for c, w in codes)
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+
+
+def test_lzw_streams():
+    rng = np.random.default_rng(1)
+    for body in (b"abababababab" * 50, rng.integers(0, 4, 20_000, dtype=np.uint8).tobytes(), rng.integers(0, 256, 9000, dtype=np.uint8).tobytes()):
+        assert grids.unlzw(lzw(body)) == body and grids.unlzw(grids.relzw(body)) == body
+
+
+@pytest.mark.parametrize("pack", ["plain", "deflate", "lzw"])
+@pytest.mark.parametrize("block", [None, 16])
+def test_rasters_read_by_workers(spark, tmp_path, pack, block):
+    r = grids.Raster(np.arange(35 * 50, dtype=float).reshape(35, 50), grids.Axis(0.0, 0.5, 50), grids.Axis(30.0, -0.5, 35))
+    path = tmp_path / "gebco_2022_n30.0_s12.5_w0.0_e25.0.tif"
+    path.write_bytes(grids.geotiff_bytes(r, pack, block))
+    assert (grids.read_geotiff(str(path)).values == r.values).all()
+    got = {(c.ix, c.iy): c.value for c in grids.raster_cells(spark, str(path)).collect()}
+    assert got == {(x, y): float(r.values[y, x]) for x in range(50) for y in range(35)}
+    p = pings(spark, [(1, 1, 0, 3.2, 28.4, 1.0, 0.0)])
+    assert grids.with_depth(p, spark, str(path)).first().depth_metres == -float(r.values[4, 7])
+    with pytest.raises(Exception, match="no raster tile"):
+        grids.with_depth(pings(spark, [(1, 1, 0, 99.0, 28.4, 1.0, 0.0)]), spark, str(path)).collect()
+
+
+def test_nearest_zone_from_candidates_of_cells(spark):
+    rng = np.random.default_rng(5)
+    z = [(f"z{k}", [float(x), float(x) + 1, float(x) + 1], [float(y), float(y), float(y) + 1]) for k, (x, y) in enumerate(zip(rng.uniform(-170, 170, 40), rng.uniform(-80, 80, 40)))]
+    g = zones.geometry(spark.createDataFrame(z, "zone_name string, xs array<double>, ys array<double>"))
+    p = pings(spark, [(k, 1, 0, float(rng.uniform(-180, 180)), float(rng.uniform(-90, 90)), 1.0, 0.0) for k in range(300)])
+    every = zones.zone_distances(p, g).groupBy("row_id").agg(F.min(F.struct("distance", "zone")).alias("n")).select("row_id", "n.zone", "n.distance")
+    assert sorted(map(tuple, zones.nearest_zone(p, g).collect())) == sorted(map(tuple, every.collect()))
+    with pytest.raises(ValueError):
+        zones.zone_distances(p, g, 5)
+
+
+def test_zones_from_vertices(spark):
+    v = spark.createDataFrame([(7, k, x, y) for k, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)])] + [(9, 0, 5.0, 5.0)], "zone int, seq int, x double, y double")
+    got = {r.zone_name: (list(r.xs), list(r.ys)) for r in zones.from_vertices(v).collect()}
+    assert got == {"zone_0": ([0.0, 1.0, 1.0], [0.0, 0.0, 1.0]), "zone_1": ([5.0], [5.0])}
+    with pytest.raises(ValueError):
+        zones.from_vertices(v, epsg=2154)
+
+
 def test_export(spark, tmp_path):
     p = pings(spark, [(1, 7, T0, -60.123456789, 45.0, 1.0, 0.0), (2, 8, T0, 1.0, 2.0, 1.0, 0.0), (3, 7, T0 + 5, -60.2, 45.0, None, 0.0)])
     rows = {r.row_id: r for r in export.csv_rows(p).collect()}

@@ -98,6 +98,15 @@ def split_tracks(
     return x.withColumn("seg", rank.cast("int")).drop("_seg", "_n")
 
 
+def runs(df: DataFrame, value: str, track: Sequence[str] = ("mmsi",)) -> DataFrame:
+    """Maximal runs of one value along each track: track columns, the value, first_time, last_time, pings; null is a value."""
+    w = along(track)
+    change = F.lag("time").over(w).isNull() | ~F.col(value).eqNullSafe(F.lag(value).over(w))
+    return islands(df, change, "_run", track).groupBy(*track, "_run").agg(
+        F.first(value).alias(value), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.count(F.lit(1)).alias("pings")
+    ).drop("_run")
+
+
 def track_id(seg: str = "seg") -> Column:
     """The segment's name on export: mmsi-k."""
     return F.concat_ws("-", F.col("mmsi").cast("string"), F.col(seg).cast("string"))

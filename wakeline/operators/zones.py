@@ -102,14 +102,52 @@ def fence(points: DataFrame, geom: DataFrame, cell: float = 1.0) -> DataFrame:
     return points.join(zone_of(points, geom, cell), "row_id", "left").withColumn("in_zone", F.coalesce("in_zone", F.lit(OUTSIDE)))
 
 
-def nearest_zone(points: DataFrame, geom: DataFrame, most: int = 10_000) -> DataFrame:
-    """(row_id, zone, distance): the zone with the least distance to its centroid less its radius; the zone list is size-checked."""
+CELL_RADIUS_M = 79_000.0  # no point of a one-degree cell lies farther from its middle
+
+
+def _reach(lon: Column, lat: Column, z: Column) -> Column:
+    return geo.haversine(lon, lat, z["cx"], z["cy"]) - z["r"]
+
+
+def _zone_list(geom: DataFrame, most: int) -> Column:
     rows = geom.select("zone", "cx", "cy", "maxradius").orderBy("zone").limit(most + 1).collect()
     if len(rows) > most:
-        raise ValueError("too many zones to look at from every point")
-    zones = F.array(*[F.struct(F.lit(r.zone).alias("zone"), F.lit(r.cx).alias("cx"), F.lit(r.cy).alias("cy"), F.lit(r.maxradius).alias("r")) for r in rows])
-    each = F.transform(zones, lambda z: F.struct(F.round(geo.haversine(F.col("lon"), F.col("lat"), z["cx"], z["cy"]) - z["r"], 1).alias("distance"), z["zone"].alias("zone")))
-    return points.select("row_id", F.array_min(each).alias("n")).select("row_id", "n.zone", "n.distance")
+        raise ValueError("too many zones to look at from one place")
+    return F.array(*[F.struct(F.lit(r.zone).alias("zone"), F.lit(r.cx).alias("cx"), F.lit(r.cy).alias("cy"), F.lit(r.maxradius).alias("r")) for r in rows])
+
+
+def nearest_zone(points: DataFrame, geom: DataFrame, most: int = 10_000) -> DataFrame:
+    """(row_id, zone, distance): the zone with the least distance to its centroid less its radius; the zone list is size-checked.
+
+    Each one-degree cell with points keeps the zones that may be nearest somewhere in
+    it - from its middle no more than two cell radii behind the best - and points look
+    at those alone.
+    """
+    p = points.select("row_id", "lon", "lat", F.floor("lon").cast("int").alias("_cx"), F.floor("lat").cast("int").alias("_cy"))
+    seen = F.transform(_zone_list(geom, most), lambda z: F.struct(_reach(F.col("_cx") + 0.5, F.col("_cy") + 0.5, z).alias("d"), z.alias("z")))
+    cells = p.select("_cx", "_cy").distinct().withColumn("_seen", seen).withColumn("_least", F.array_min(F.transform("_seen", lambda s: s["d"])))
+    cells = cells.select("_cx", "_cy", F.transform(F.filter("_seen", lambda s: s["d"] <= F.col("_least") + 2 * CELL_RADIUS_M), lambda s: s["z"]).alias("_zones"))
+    each = F.transform("_zones", lambda z: F.struct(F.round(_reach(F.col("lon"), F.col("lat"), z), 1).alias("distance"), z["zone"].alias("zone")))
+    return p.join(cells, ["_cx", "_cy"]).select("row_id", F.array_min(each).alias("n")).select("row_id", "n.zone", "n.distance")
+
+
+def zone_distances(points: DataFrame, geom: DataFrame, most: int = 10_000) -> DataFrame:
+    """(row_id, zone, distance) of a few places and every zone of a list of checked size."""
+    each = F.transform(_zone_list(geom, most), lambda z: F.struct(z["zone"].alias("zone"), F.round(_reach(F.col("lon"), F.col("lat"), z), 1).alias("distance")))
+    return points.select("row_id", F.explode(each).alias("n")).select("row_id", "n.zone", "n.distance")
+
+
+def from_vertices(vertices: DataFrame, name: str | None = None, epsg: int = 4326) -> DataFrame:
+    """Zones (zone_name, xs, ys) from vertices (zone, seq, x, y), in degrees or Web Mercator metres (EPSG 3857).
+
+    ``name`` is the column that names a zone; without it zones are zone_0, zone_1 ... in order of ``zone``.
+    """
+    if epsg not in (4326, 3857):
+        raise ValueError("coordinates are EPSG 4326 or 3857")
+    x, y = (F.col("x"), F.col("y")) if epsg == 4326 else (geo.mercator_lon(F.col("x")), geo.mercator_lat(F.col("y")))
+    rings = vertices.groupBy("zone").agg(F.array_sort(F.collect_list(F.struct("seq", x.alias("x"), y.alias("y")))).alias("p"), *([F.first(name).alias("_name")] if name else []))
+    label = F.col("_name") if name else F.concat(F.lit("zone_"), (F.row_number().over(Window.orderBy("zone")) - 1).cast("string"))  # few rows: one a zone
+    return rings.select(label.alias("zone_name"), F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
 
 
 def without_land(points: DataFrame, land: DataFrame, water: DataFrame) -> DataFrame:

@@ -31,6 +31,15 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}_{uuid.uuid4().hex}"
 
 
+def put_file(spark: SparkSession, target: str, body: bytes) -> str:
+    """Write a file of any file system that the session knows; returns its path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(body))
+    out.close()
+    return target
+
+
 def ship(spark: SparkSession) -> None:
     """Add the package's sources to the session's workers, once per application; by way of the shared folder where one is set."""
     sc = spark.sparkContext
@@ -41,12 +50,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
-    target = f"{shared_folder(spark)}/wakeline_{sc.applicationId}.zip"
-    path = sc._jvm.org.apache.hadoop.fs.Path(target)
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
-    out.write(bytearray(body.getvalue()))
-    out.close()
-    sc.addPyFile(target)
+    sc.addPyFile(put_file(spark, f"{shared_folder(spark)}/wakeline_{sc.applicationId}.zip", body.getvalue()))
     _shipped.add(sc.applicationId)
 
 

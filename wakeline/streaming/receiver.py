@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wakeline.operators.filters import live_positions
@@ -28,7 +30,6 @@ FRAGMENT_DELAY = "1 hour"  # fragments that come later than this are lost
 def sentences(lines: DataFrame, arrival: str = "arrival") -> DataFrame:
     """Parsed sentences of a stream of (line, arrival timestamp); a sentence's own time goes before its arrival."""
     x = lines.select(F.explode(F.split("line", r"\r?\n")).alias("line"), F.col(arrival).alias("arrival")).where("line <> ''")
-    x = x.withColumn("file", F.lit("live")).withColumn("n", F.lit(0).cast("long"))
     tagged = F.col("line").contains("\\")
     e4, s4 = nmea.nm4_header(F.col("line"))
     s = F.when(tagged, s4).otherwise(F.col("line"))
@@ -50,13 +51,22 @@ def join_fragments(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
     out, latest = [], 0
     for pdf in batches:
         latest = max(latest, int(pdf["time"].max()))
-        for no, payload, t in sorted(zip(pdf["no"], pdf["payload"], pdf["time"]), key=lambda r: (r[2], r[0])):
-            if no == 1:
-                parts = {}
-            parts[int(no)] = payload
-            if len(parts) == total:
-                out.append((t, "".join(parts[k] for k in sorted(parts))))
-                parts = {}
+        for t, rows in pdf.sort_values(["time", "no"], kind="stable").groupby("time", sort=False):
+            # messages of one second lie between each other: a part goes to the first that lacks it
+            fresh: list[dict] = []
+            for no, payload in zip(rows["no"].tolist(), rows["payload"]):
+                if no == 1:
+                    fresh.append({1: payload})
+                    continue
+                to = next((w for w in [*fresh, parts] if w and no not in w), None)
+                if to is None:
+                    fresh.append(to := {})
+                to[no] = payload
+            waiting = [w for w in (parts, *fresh) if w]
+            done = [w for w in waiting if len(w) == total]
+            out += [(int(t), "".join(w[k] for k in sorted(w))) for w in done]
+            open_ones = [w for w in waiting if len(w) < total]
+            parts = open_ones[-1] if open_ones else {}
     if parts:
         state.update((list(parts), list(parts.values())))
         # event time: the wait ends with the stream's own clock, and a drained stream comes to rest
@@ -112,7 +122,9 @@ def start(
 ):
     """Run the receiver: decode each micro-batch, write both tables, publish messages; ``interval=None`` drains and stops.
 
-    A batch whose insert fails is logged and passed over; the stream goes on.
+    A batch that fails is logged, its messages go to the store's ``failed`` table, from
+    where they can be tried again (``retry``), and the stream goes on; if even that
+    fails the stream stops, and the batch comes again when it is started anew.
     """
     def each(batch: DataFrame, n: int) -> None:
         batch.persist()
@@ -127,8 +139,87 @@ def start(
             store.insert(static, "static")
         except Exception:  # noqa: BLE001 - the stream must outlive a bad batch
             log.exception("batch %s was not stored", n)
+            batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{store.path}/failed")
         finally:
             batch.unpersist()
 
     writer = messages(sentences(lines)).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)).start()
+
+
+def retry(spark, store, source: str = "live") -> None:
+    """Store what failed batches left behind; inserts pass over what is stored already."""
+    batch = spark.read.parquet(f"{store.path}/failed")
+    store.insert(nmea.without_nulls(live_positions(nmea.dynamic_rows(batch, source, keep_nulls=True))), "dynamic")
+    store.insert(nmea.static_rows(batch, source), "static")
+
+
+def to_udp(host: str, port: int) -> Callable[[DataFrame, int], None]:
+    """A publisher that sends every value as a datagram, from the workers."""
+    def publish(messages: DataFrame, n: int) -> None:
+        def send(rows) -> None:
+            import socket
+
+            with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+                for r in rows:
+                    s.sendto((r[0] + "\r\n").encode(), (host, port))
+
+        messages.foreachPartition(send)
+
+    return publish
+
+
+class UdpSource(DataSource):
+    """Streaming source of lines that come as datagrams: ``spark.readStream.format("udp_lines").option("port", 9921)``.
+
+    Columns: line, arrival.  The driver listens; a micro-batch takes what has come
+    since the one before.  Datagrams cannot be asked for again: put a log or a queue in
+    between where none may be lost.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "udp_lines"
+
+    def schema(self) -> str:
+        return "line string, arrival timestamp"
+
+    def simpleStreamReader(self, schema):
+        return UdpReader(self.options)
+
+
+class UdpReader(SimpleDataSourceStreamReader):
+    LENGTH = 8096  # bytes of the longest datagram
+
+    def __init__(self, options: dict):
+        self.address = options.get("host", "0.0.0.0"), int(options["port"])
+        self.socket = None
+        self.taken: dict[int, list[tuple]] = {}
+
+    def initialOffset(self) -> dict:
+        return {"n": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        import socket
+
+        if self.socket is None:
+            self.socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+            self.socket.bind(self.address)
+            self.socket.setblocking(False)
+        rows: list[tuple] = []
+        while True:
+            try:
+                body = self.socket.recv(self.LENGTH)
+            except BlockingIOError:
+                break
+            now = datetime.now(timezone.utc)
+            rows += [(line, now) for line in body.decode("utf-8", "replace").split("\r\n") if line]
+        at = start["n"]
+        self.taken[at] = rows
+        return iter(rows), {"n": at + len(rows)}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self.taken.get(start["n"], []))
+
+    def commit(self, end: dict) -> None:
+        self.taken = {k: v for k, v in self.taken.items() if k >= end["n"]}
