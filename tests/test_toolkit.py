@@ -103,13 +103,64 @@ def test_islands_split_at_the_bound(spark):
     assert tracks.split_timedelta(pings(spark, []), 10).count() == 0
 
 
-def test_split_longitude_and_no_extra_exchange(spark):
+def test_split_longitude_and_timedelta_in_a_chain(spark):
     rows = [(1, 1, 0, 179.9, 0.0, 1.0, 0.0), (2, 1, 10, -179.9, 0.0, 1.0, 0.0), (3, 1, 20, -179.8, 0.0, 1.0, 0.0)]
     x = tracks.split_timedelta(tracks.split_longitude(tracks.deltas(pings(spark, rows))), 3600)
-    assert x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {r.row_id: r.lon_seg for r in x.collect()} == {1: 0, 2: 1, 3: 1}
 
 
+def test_no_task_holds_a_whole_track(spark):
+    """Pings are placed by track and day: no exchange of rows and no window over them goes by the track alone."""
+    plan = tracks.deltas(pings(spark, [(1, 1, 0, 0.0, 0.0, 1.0, 0.0)]))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_day#" in line.split("], [")[1] or "_carry" in line or "__was" in line for line in windows)
+
+
+def test_tracks_over_many_days_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for m in (1, 1, 1, 2, 3):  # one vessel with most of the rows
+        n = 300
+        t = np.sort(rng.integers(T0, T0 + 9 * 86_400, n))
+        rows += [(len(rows) + k, m, int(t[k]), float(rng.normal(0, 0.3)), float(rng.normal(40, 0.3)), float(rng.integers(0, 5)), float(rng.integers(0, 360))) for k in range(n)]
+    rows += [(9000, 2, T0 + 86_400, 0.0, 40.0, 1.0, 0.0), (9001, 2, T0 + 86_400, 0.0, 40.0, 1.0, 0.0)]  # on midnight, twice
+    df = pings(spark, rows).repartition(5)
+    d = {r.row_id: r for r in tracks.deltas(df).collect()}
+    idx = {r.row_id: r.idx for r in tracks.split_timedelta(df, 7200).collect()}
+    total = {r.mmsi: r.meters for r in tracks.summary(df).collect()}
+    seg = {r.row_id: r.seg for r in tracks.split_tracks(df, max_distance=1e9, min_direction_change=181, min_speed=1, min_segment_length=3).collect()}
+    for m in (1, 2, 3):
+        line = sorted((r[2], r[0], r) for r in rows if r[1] == m)
+        number, way, runs_ = 0, 0.0, [[]]
+        for k, (t, i, r) in enumerate(line):
+            before = line[k - 1][2] if k else None
+            if before is None:
+                assert d[i].delta_meters is None and d[i].delta_seconds is None
+            else:
+                far = metres(before[3], before[4], r[3], r[4])
+                assert d[i].delta_seconds == t - before[2] and d[i].delta_meters == pytest.approx(far, abs=1e-6)
+                way += far
+                number += t - before[2] >= 7200
+                if t - before[2] >= 86_400 or r[5] < 1:
+                    runs_.append([])
+            assert idx[i] == number
+            runs_[-1].append(i)
+        assert total[m] == pytest.approx(way, abs=0.06)
+        kept = [g for g in runs_ if len(g) >= 3]
+        assert {i: seg.get(i) for _, i, _ in line} == {i: next((n for n, g in enumerate(kept) if i in g), None) for _, i, _ in line}
+
+
+def test_simplify_over_days_and_live(spark):
+    line = [(k, 1, T0 + 3600 * k, 0.01 * k, 10.0, 1.0, 0.0) for k in range(100)]  # straight, over five days
+    assert sorted(r.row_id for r in simplify.simplify(pings(spark, line), 1e-4).collect()) == [0, 99]
+    bend = [(k, 1, T0 + 60 * k, 0.01 * min(k, 60), 10.0 + 0.01 * max(0, k - 60), 1.0, 0.0) for k in range(120)]
+    assert sorted(r.row_id for r in simplify.simplify(pings(spark, bend), 1e-4).collect()) == [0, 60, 119]
+    assert sorted(r.row_id for r in simplify.simplify_live(pings(spark, bend)).collect()) == [0, 60, *range(99, 120)]
+    assert simplify.simplify(pings(spark, []), 1e-4).count() == simplify.simplify_live(pings(spark, [])).count() == 0
+    x, y = np.array([0.0, 1, 2, 3, 3]), np.array([0.0, 0.1, 0, 0, 5])
+    assert simplify.farthest_first(x, y, 0.5).tolist() == [True, False, False, True, True]
+
+
 def test_split_tracks_keeps_long_segments(spark):
     rows = [(k, 1, 60 * k, 0.001 * k, 0.0, 5.0, 90.0) for k in range(20)] + [(100 + k, 1, 10**6 + 60 * k, 0.001 * k, 0.0, 5.0, 90.0) for k in range(5)]
     got = tracks.split_tracks(pings(spark, rows)).select("row_id", "seg", tracks.track_id().alias("id")).collect()

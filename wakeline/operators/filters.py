@@ -77,13 +77,12 @@ def mask_in_radius(df: DataFrame, lon: float, lat: float, metres: float) -> Data
 
 def min_speed_filter(df: DataFrame, min_knots: float, track: Sequence[str] = ("mmsi",), order: Sequence[str] = ("time", "row_id")) -> DataFrame:
     """Pings from which the vessel goes on at ``min_knots`` or more; the last ping has the speed of the leg before it, a lone ping passes."""
-    w = Window.partitionBy(*track).orderBy(*order)
-    leg = geo.knots(
-        geo.haversine(F.col("lon"), F.col("lat"), F.lead("lon").over(w), F.lead("lat").over(w)), F.lead("time").over(w) - F.col("time")
-    )
-    x = df.withColumn("_leg", leg)
-    x = x.withColumn("_speed", F.coalesce("_leg", F.lag("_leg").over(w)))
-    return x.where(F.col("_speed").isNull() | (F.col("_speed") >= min_knots)).drop("_leg", "_speed")
+    from wakeline.operators.tracks import neighbours, placed
+
+    x = neighbours(placed(df, track), ("lon", "lat", "time"), track, before="_was", after="_then", order=order)
+    leg = lambda a, b: geo.knots(geo.haversine(F.col(f"{a}lon"), F.col(f"{a}lat"), F.col(f"{b}lon"), F.col(f"{b}lat")), F.col(f"{b}time") - F.col(f"{a}time"))
+    x = x.withColumn("_speed", F.coalesce(leg("", "_then."), leg("_was.", "")))
+    return x.where(F.col("_speed").isNull() | (F.col("_speed") >= min_knots)).drop("_was", "_then", "_speed", "_day")
 
 
 def drop_slow(df: DataFrame, threshold: float, sog: str = "sog") -> DataFrame:

@@ -18,24 +18,27 @@ from pyspark.sql import functions as F
 from wakeline.functions import geo
 from wakeline.functions.scalar import seconds_of
 from wakeline.operators.grouped import as_numpy, grouped_blocks, key_change
-from wakeline.operators.tracks import along, running
+from wakeline.operators.tracks import cumulated, neighbours, placed
 
 
-def one_per_time(df: DataFrame, track: Sequence[str], values: Sequence[str]) -> DataFrame:
+def one_per_time(df: DataFrame, track: Sequence[str], values: Sequence[str], day: Sequence[str] = ()) -> DataFrame:
     """Of pings of one time the first; the axis of an interpolation must rise."""
-    return df.groupBy(*track, "time").agg(F.min_by(F.struct("lon", "lat", *values), F.col("row_id")).alias("_v")).select(*track, "time", "_v.*")
+    return df.groupBy(*track, *day, "time").agg(F.min_by(F.struct("lon", "lat", *values), F.col("row_id")).alias("_v")).select(*track, *day, "time", "_v.*")
 
 
 def _between(a: Column, b: Column, share: Column) -> Column:
     return F.when(share.isNull(), a).otherwise(a + (b - a) * share)
 
 
-def _paired(df: DataFrame, track: Sequence[str], names: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*track).orderBy("time")
-    x = df.withColumn("_x", geo.mercator_x(F.col("lon"))).withColumn("_y", geo.mercator_y(F.col("lat")))
-    for c in ("time", "_x", "_y", *names):
-        x = x.withColumn(f"_n_{c}", F.lead(c).over(w))
-    return x
+def _paired(df: DataFrame, track: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Placed pings, one a time, in Mercator metres (_x, _y), with the next one (_then) and the track's first and last time (_t0, _tn)."""
+    x = one_per_time(placed(df, track), track, values, ("_day",))
+    x = x.withColumn("_x", geo.mercator_x(F.col("lon"))).withColumn("_y", geo.mercator_y(F.col("lat")))
+    x = neighbours(x, ("time", "_x", "_y", *values), track, after="_then", order=("time",))
+    days = x.groupBy(*track, "_day").agg(F.min("time").alias("_a"), F.max("time").alias("_b"))
+    w = Window.partitionBy(*track)
+    days = days.select(*track, "_day", F.min("_a").over(w).alias("_t0"), F.max("_b").over(w).alias("_tn"))
+    return x.join(days, [*track, "_day"])
 
 
 def interp_time(df: DataFrame, step: timedelta | int = timedelta(minutes=10), values: Sequence[str] = ("sog",), track: Sequence[str] = ("mmsi",)) -> DataFrame:
@@ -45,18 +48,16 @@ def interp_time(df: DataFrame, step: timedelta | int = timedelta(minutes=10), va
     one ping are left out.  Out: track columns, time, lon, lat, values.
     """
     s = seconds_of(step)
-    w = Window.partitionBy(*track)
-    x = _paired(one_per_time(df, track, values), track, values)
-    x = x.withColumn("_t0", F.min("time").over(w)).withColumn("_tn", F.max("time").over(w)).where(F.col("_t0") < F.col("_tn"))
+    x = _paired(df, track, values).where(F.col("_t0") < F.col("_tn"))
     k0 = F.ceil((F.col("time") - F.col("_t0")) / s)
-    k1 = F.when(F.col("_n_time").isNotNull(), F.ceil((F.col("_n_time") - F.col("_t0")) / s) - 1).otherwise(F.ceil((F.col("_tn") - F.col("_t0")) / s))
+    k1 = F.when(F.col("_then").isNotNull(), F.ceil((F.col("_then.time") - F.col("_t0")) / s) - 1).otherwise(F.ceil((F.col("_tn") - F.col("_t0")) / s))
     x = x.withColumn("_k0", k0).withColumn("_k1", k1).where("_k0 <= _k1").withColumn("_k", F.explode(F.sequence("_k0", "_k1")))
     at = F.col("_t0") + F.col("_k") * s
-    share = (at - F.col("time")) / (F.col("_n_time") - F.col("time"))
+    share = (at - F.col("time")) / (F.col("_then.time") - F.col("time"))
     return x.select(
         *track, at.cast("long").alias("time"),
-        geo.mercator_lon(_between(F.col("_x"), F.col("_n__x"), share)).alias("lon"), geo.mercator_lat(_between(F.col("_y"), F.col("_n__y"), share)).alias("lat"),
-        *[_between(F.col(v).cast("double"), F.col(f"_n_{v}").cast("double"), share).alias(v) for v in values],
+        geo.mercator_lon(_between(F.col("_x"), F.col("_then._x"), share)).alias("lon"), geo.mercator_lat(_between(F.col("_y"), F.col("_then._y"), share)).alias("lat"),
+        *[_between(F.col(v).cast("double"), F.col(f"_then.{v}").cast("double"), share).alias(v) for v in values],
     )
 
 
@@ -78,21 +79,20 @@ def interp_spacing(df: DataFrame, spacing: float, values: Sequence[str] = ("sog"
 
     Out: track columns, way (metres from the start), time, lon, lat, values (all linear in the way).
     """
-    w = Window.partitionBy(*track).orderBy("time")
-    x = _paired(one_per_time(df, track, values), track, values)
-    leg = F.sqrt(F.pow(F.col("_n__x") - F.col("_x"), F.lit(2.0)) + F.pow(F.col("_n__y") - F.col("_y"), F.lit(2.0)))
-    x = x.withColumn("_leg", F.coalesce(leg, F.lit(0.0))).withColumn("_to", F.sum("_leg").over(running(w)))
-    x = x.withColumn("_from", F.lag("_to", 1, 0.0).over(w)).withColumn("_total", F.sum("_leg").over(Window.partitionBy(*track)))
-    x = x.where(F.col("_total") > spacing)
-    last = F.col("_n_time").isNull()
+    x = _paired(df, track, values)
+    leg = F.sqrt(F.pow(F.col("_then._x") - F.col("_x"), F.lit(2.0)) + F.pow(F.col("_then._y") - F.col("_y"), F.lit(2.0)))
+    x = cumulated(x.withColumn("_leg", F.coalesce(leg, F.lit(0.0))), "_leg", "_to", track, "_total", order=("time",))
+    # to the micrometre, so that a leg begins exactly where the one before it ends
+    x = x.withColumn("_from", F.round(F.col("_to") - F.col("_leg"), 6)).withColumn("_to", F.round("_to", 6)).where(F.col("_total") > spacing)
+    last = F.col("_then").isNull()
     k0, k1 = F.ceil(F.col("_from") / spacing), F.ceil(F.col("_to") / spacing) - 1
     inner = F.when(~last & (k0 <= k1), F.transform(F.sequence(k0, k1), lambda k: k * F.lit(float(spacing))))
     x = x.withColumn("way", F.explode(F.when(last, F.array("_total")).otherwise(F.coalesce(inner, F.array().cast("array<double>")))))
     share = F.when(~last, (F.col("way") - F.col("_from")) / F.col("_leg"))
     out = x.select(
-        *track, "way", _between(F.col("time").cast("double"), F.col("_n_time").cast("double"), share).alias("time"),
-        geo.mercator_lon(_between(F.col("_x"), F.col("_n__x"), share)).alias("lon"), geo.mercator_lat(_between(F.col("_y"), F.col("_n__y"), share)).alias("lat"),
-        *[_between(F.col(v).cast("double"), F.col(f"_n_{v}").cast("double"), share).alias(v) for v in values],
+        *track, "way", _between(F.col("time").cast("double"), F.col("_then.time").cast("double"), share).alias("time"),
+        geo.mercator_lon(_between(F.col("_x"), F.col("_then._x"), share)).alias("lon"), geo.mercator_lat(_between(F.col("_y"), F.col("_then._y"), share)).alias("lat"),
+        *[_between(F.col(v).cast("double"), F.col(f"_then.{v}").cast("double"), share).alias(v) for v in values],
     )
     return with_azimuth(out, df, track, "way") if azimuth else out
 

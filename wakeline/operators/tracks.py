@@ -1,8 +1,10 @@
 """Track operators: a track is the rows of one key in order of time.
 
-Segmenting operators add integer columns and leave mmsi alone, so one hash
-partitioning by mmsi serves every window of a chain: Spark adds no exchange for
-windows over (mmsi, segment) when the rows are already placed by mmsi.
+Rows are placed by (track, UTC day), so no task holds a track as a whole, whatever
+share of all rows it has.  What crosses midnight goes by way of one small row per
+track and day: the neighbour of a day's first or last ping, and the sums of the
+days before.  Segmenting operators add integer columns and leave mmsi alone.
+Rows with a null key or time have no neighbours beyond their own day.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from wakeline.functions import geo
 from wakeline.functions.scalar import seconds_of
 
 ORDER = ("time", "row_id")
+DAY = 86_400
 
 
 def along(track: Sequence[str] = ("mmsi",), order: Sequence[str] = ORDER):
@@ -28,32 +31,74 @@ def running(w):
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def placed(df: DataFrame, track: Sequence[str] = ("mmsi",)) -> DataFrame:
+    """Rows with ``_day``, placed by (track, day): one exchange that all the steps below share."""
+    return df.withColumn("_day", F.floor(F.col("time") / DAY).cast("long")).repartition(*track, "_day")
+
+
+def neighbours(x: DataFrame, columns: Sequence[str], track: Sequence[str] = ("mmsi",), before: str | None = None, after: str | None = None, order: Sequence[str] = ORDER) -> DataFrame:
+    """``before`` and ``after``: structs of columns of the rows next to each of placed rows; null at a track's ends."""
+    keys, at, me = [*track, "_day"], F.struct(*order), F.struct(*columns)
+    w, line = along(keys, order), Window.partitionBy(*track).orderBy("_day")
+    sides = [(n, look, pick) for n, look, pick in ((before, F.lag, F.max_by), (after, F.lead, F.min_by)) if n]
+    ends = x.groupBy(*keys).agg(*[pick(me, at).alias(f"_{n}") for n, _, pick in sides])
+    ends = ends.select(*keys, *[look(f"_{n}").over(line).alias(f"_{n}") for n, look, _ in sides])
+    for n, look, _ in sides:
+        x = x.withColumn(n, look(me).over(w))
+    x = x.join(ends, keys, "left")
+    for n, _, _ in sides:
+        x = x.withColumn(n, F.coalesce(n, f"_{n}")).drop(f"_{n}")
+    return x
+
+
+def cumulated(x: DataFrame, value: str, name: str, track: Sequence[str] = ("mmsi",), total: str | None = None, order: Sequence[str] = ORDER) -> DataFrame:
+    """``name``: sum of a column of placed rows along each track up to each row; ``total``: of the whole track."""
+    keys = [*track, "_day"]
+    line = Window.partitionBy(*track).orderBy("_day")
+    days = x.groupBy(*keys).agg(F.sum(value).alias("_s"))
+    days = days.withColumn("_o", F.sum("_s").over(line.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("_s").over(Window.partitionBy(*track))).drop("_s")
+    kind = x.schema[value].dataType
+    x = x.withColumn(name, F.sum(value).over(running(along(keys, order)))).join(days, keys, "left")
+    x = x.withColumn(name, (F.col(name) + F.coalesce("_o", F.lit(0))).cast(kind))
+    if total:
+        x = x.withColumn(total, F.coalesce("_all", F.lit(0)).cast(kind))
+    return x.drop("_o", "_all")
+
+
+def numbered(x: DataFrame, breaks: Column, name: str, track: Sequence[str] = ("mmsi",), total: str | None = None) -> DataFrame:
+    """Number the runs of placed rows between breaks, from 0; a null break is none."""
+    return cumulated(x.withColumn("_b", F.coalesce(breaks.cast("int"), F.lit(0))), "_b", name, track, total).drop("_b")
+
+
 def deltas(df: DataFrame, track: Sequence[str] = ("mmsi",)) -> DataFrame:
     """delta_seconds, delta_meters and delta_knots from the ping before; null on the first."""
-    w = along(track)
-    d = geo.haversine(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"))
-    x = df.withColumn("delta_seconds", F.col("time") - F.lag("time").over(w)).withColumn("delta_meters", d)
-    return x.withColumn("delta_knots", geo.knots(F.col("delta_meters"), F.col("delta_seconds")))
+    return with_deltas(placed(df, track), track).drop("_day")
 
 
-def islands(df: DataFrame, breaks: Column, name: str, track: Sequence[str] = ("mmsi",)) -> DataFrame:
-    """Number the runs between breaks, from 0; a null break is none."""
-    return df.withColumn("_b", F.coalesce(breaks.cast("int"), F.lit(0))).withColumn(name, F.sum("_b").over(running(along(track))).cast("int")).drop("_b")
+def with_deltas(x: DataFrame, track: Sequence[str] = ("mmsi",)) -> DataFrame:
+    x = neighbours(x, ("lon", "lat", "time"), track, before="_was")
+    d = geo.haversine(F.col("_was.lon"), F.col("_was.lat"), F.col("lon"), F.col("lat"))
+    x = x.withColumn("delta_seconds", F.col("time") - F.col("_was.time")).withColumn("delta_meters", d)
+    return x.withColumn("delta_knots", geo.knots(F.col("delta_meters"), F.col("delta_seconds"))).drop("_was")
 
 
 def split_longitude(df: DataFrame, tolerance: float = 300.0, track: Sequence[str] = ("mmsi",)) -> DataFrame:
     """lon_seg: cut where the longitude leaps over the antimeridian."""
-    return islands(df, F.abs(F.col("lon") - F.lag("lon").over(along(track))) > tolerance, "lon_seg", track)
+    x = neighbours(placed(df, track), ("lon",), track, before="_was")
+    return numbered(x, F.abs(F.col("lon") - F.col("_was.lon")) > tolerance, "lon_seg", track).drop("_was", "_day")
 
 
 def split_timedelta(df: DataFrame, maxdelta: timedelta | int = timedelta(weeks=2), track: Sequence[str] = ("mmsi",)) -> DataFrame:
     """idx: cut where the time between pings reaches ``maxdelta``; numbered per mmsi."""
-    gap = F.col("time") - F.lag("time").over(along(track)) >= seconds_of(maxdelta)
-    x = islands(df, gap, "_seg", track)
+    x = neighbours(placed(df, track), ("time",), track, before="_was")
+    x = numbered(x, F.col("time") - F.col("_was.time") >= seconds_of(maxdelta), "_seg", track).drop("_was", "_day")
     if tuple(track) == ("mmsi",):
         return x.withColumnRenamed("_seg", "idx")
+    # segments are numbered as such; their rows get the numbers by a join
+    names = [*track, "_seg"]
     w = Window.partitionBy("mmsi").orderBy(*[c for c in track if c != "mmsi"], "_seg")
-    return x.withColumn("idx", (F.dense_rank().over(w) - 1).cast("int")).drop("_seg")
+    ranks = x.select(*names).distinct().withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+    return x.join(ranks, names).drop("_seg")
 
 
 def split_tracks(
@@ -75,34 +120,36 @@ def split_tracks(
     measured with longitude and latitude in their places.  Courses between pings are
     bearings on the sphere, or with ``ellipsoid`` WGS84 azimuths (an Arrow step).
     """
-    w = along(track)
-    lead_leg = (F.col("lon"), F.col("lat"), F.lead("lon").over(w), F.lead("lat").over(w))
-    leg = (geo.geodesic_azimuth if ellipsoid else geo.bearing)(*lead_leg)
-    x = df.withColumn("_to", F.pmod(leg, F.lit(360.0)))
-    cog = F.pmod(F.col("cog").cast("int"), F.lit(360))
-    cog_before = F.lag(cog).over(w)
-    moved = geo.haversine(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"))
+    x = neighbours(placed(df, track), ("lon", "lat", "time", "cog"), track, before="_was", after="_then")
+    leg = geo.geodesic_azimuth if ellipsoid else geo.bearing
+    was, then, here = ([F.col(f"{p}lon"), F.col(f"{p}lat")] for p in ("_was.", "_then.", ""))
+    into, out = F.pmod(leg(*was, *here), F.lit(360.0)), F.pmod(leg(*here, *then), F.lit(360.0))
+    whole = lambda c: F.pmod(F.col(c).cast("int"), F.lit(360))
     cut = (
-        F.coalesce(F.col("time") - F.lag("time").over(w) >= seconds_of(max_time), F.lit(False))
+        F.coalesce(F.col("time") - F.col("_was.time") >= seconds_of(max_time), F.lit(False))
         | F.coalesce((F.col("sog") <= max_speed) & (F.col("sog") < min_speed), F.lit(False))
-        | F.coalesce(geo.angle_between(cog, cog_before) >= min_direction_change, F.lit(False))
-        | F.coalesce(geo.angle_between(F.col("_to"), F.lag("_to").over(w)) >= min_direction_change, F.lit(False))
-        | F.coalesce(moved >= max_distance, F.lit(False))
+        | F.coalesce(geo.angle_between(whole("cog"), whole("_was.cog")) >= min_direction_change, F.lit(False))
+        | F.coalesce(geo.angle_between(out, into) >= min_direction_change, F.lit(False))
+        | F.coalesce(geo.haversine(*was, *here) >= max_distance, F.lit(False))
     )
-    # the first ping opens a segment anyway
-    cut = cut & F.lag("time").over(w).isNotNull()
-    x = islands(x, cut, "_seg", track).drop("_to")
-    size = F.count(F.lit(1)).over(Window.partitionBy(*track, "_seg"))
-    x = x.withColumn("_n", size).where(F.col("_n") >= min_segment_length)
-    rank = F.dense_rank().over(Window.partitionBy(*track).orderBy("_seg")) - 1
-    return x.withColumn("seg", rank.cast("int")).drop("_seg", "_n")
+    # the first ping opens a segment anyway; runs are numbered within the day, and the few runs tell which segment each is
+    x = x.withColumn("_b", (cut & F.col("_was.time").isNotNull()).cast("int")).drop("_was", "_then")
+    x = x.withColumn("_r", F.sum("_b").over(running(along([*track, "_day"]))).cast("int")).drop("_b")
+    days = Window.partitionBy(*track).orderBy("_day", "_r")
+    parts = x.groupBy(*track, "_day", "_r").count()
+    # run 0 of a day goes on with the segment before it
+    parts = parts.withColumn("_seg", F.sum((F.col("_r") > 0).cast("int")).over(running(days)))
+    parts = parts.withColumn("_n", F.sum("count").over(Window.partitionBy(*track, "_seg"))).where(F.col("_n") >= min_segment_length)
+    parts = parts.withColumn("seg", (F.dense_rank().over(Window.partitionBy(*track).orderBy("_seg")) - 1).cast("int"))
+    names = [*track, "_day", "_r"]
+    return x.join(parts.select(*names, "seg"), names).drop("_day", "_r")
 
 
 def runs(df: DataFrame, value: str, track: Sequence[str] = ("mmsi",)) -> DataFrame:
     """Maximal runs of one value along each track: track columns, the value, first_time, last_time, pings; null is a value."""
-    w = along(track)
-    change = F.lag("time").over(w).isNull() | ~F.col(value).eqNullSafe(F.lag(value).over(w))
-    return islands(df, change, "_run", track).groupBy(*track, "_run").agg(
+    x = neighbours(placed(df, track), ("time", value), track, before="_was")
+    change = F.col("_was").isNull() | ~F.col(value).eqNullSafe(F.col(f"_was.{value}"))
+    return numbered(x, change, "_run", track).groupBy(*track, "_run").agg(
         F.first(value).alias(value), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.count(F.lit(1)).alias("pings")
     ).drop("_run")
 
@@ -117,18 +164,24 @@ def distance_3d(df: DataFrame, lon: float, lat: float, depth: str, name: str) ->
     return df.withColumn(name, geo.distance_3d(F.col("lon"), F.col("lat"), F.lit(float(lon)), F.lit(float(lat)), F.col(depth).cast("double")))
 
 
-def vectorised(df: DataFrame, track: Sequence[str] = ("mmsi",), static: Sequence[str] = (), vectors: Sequence[str] = ("lon", "lat", "sog", "cog"), most: int = 1_000_000) -> DataFrame:
+MOST_PINGS = 1_000_000  # of a track in one row
+
+
+def parts(df: DataFrame, track: Sequence[str] = ("mmsi",), most: int = MOST_PINGS) -> DataFrame:
+    """Rows with ``part``: tracks cut after every ``most`` pings, so that no row made of a part is unbounded."""
+    x = cumulated(placed(df, track).withColumn("_one", F.lit(1).cast("long")), "_one", "_k", track)
+    return x.withColumn("part", F.floor((F.col("_k") - 1) / most).cast("int")).drop("_one", "_k", "_day")
+
+
+def vectorised(df: DataFrame, track: Sequence[str] = ("mmsi",), static: Sequence[str] = (), vectors: Sequence[str] = ("lon", "lat", "sog", "cog"), most: int = MOST_PINGS) -> DataFrame:
     """One row per track: static columns of its first ping, and arrays in order of time.
 
     For export and inspection; analysis stays in long form.  A track of more than
-    ``most`` pings is cut into numbered parts, so that no row is unbounded.
+    ``most`` pings is cut into numbered parts.
     """
-    w = along(track)
-    x = df.withColumn("_part", F.floor((F.row_number().over(w) - 1) / most).cast("int"))
-    point = F.struct("time", "row_id", *vectors)
-    rows = F.array_sort(F.collect_list(point))
-    g = x.groupBy(*track, "_part").agg(*[F.min_by(c, F.struct("time", "row_id")).alias(c) for c in static], rows.alias("_p"))
-    return g.select(*track, F.col("_part").alias("part"), *static, F.col("_p.time").alias("time"), *[F.col(f"_p.{v}").alias(v) for v in vectors])
+    rows = F.array_sort(F.collect_list(F.struct("time", "row_id", *vectors)))
+    g = parts(df, track, most).groupBy(*track, "part").agg(*[F.min_by(c, F.struct("time", "row_id")).alias(c) for c in static], rows.alias("_p"))
+    return g.select(*track, "part", *static, F.col("_p.time").alias("time"), *[F.col(f"_p.{v}").alias(v) for v in vectors])
 
 
 def summary(df: DataFrame, track: Sequence[str] = ("mmsi",)) -> DataFrame:

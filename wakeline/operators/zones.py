@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import geo
 from wakeline.functions.scalar import zone_number
-from wakeline.operators.tracks import along, running
+from wakeline.operators.tracks import neighbours, numbered, placed
 
 OUTSIDE = "Z0"
 
@@ -79,27 +79,34 @@ def bounds(geom: DataFrame) -> DataFrame:
     return geom.agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
 
 
-def zone_of(points: DataFrame, geom: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(row_id, in_zone) of points inside a zone; of several the one whose rim is nearest to its centroid's reach.
+def in_zone(points: DataFrame, geom: DataFrame, name: str, cell: float = 1.0) -> DataFrame:
+    """Points with ``name``, the zone they are in, null outside all; of several the one whose rim is nearest to its centroid's reach.
 
-    Zones are laid out on grid cells and meet the points by equality of cells, then
-    by box and by ring; a large table of zones shuffles like any other.
+    Zones are laid out on grid cells, and each cell with zones holds their list; points
+    meet it by equality of cells and are tested where they are, so they need not move
+    if the cells are few enough to be broadcast.
     """
     spans = lambda a, b: F.sequence(F.floor(F.col(a) / cell).cast("int"), F.floor(F.col(b) / cell).cast("int"))
     z = geom.select("*", F.explode(spans("xmin", "xmax")).alias("_cx")).select("*", F.explode(spans("ymin", "ymax")).alias("_cy"))
-    p = points.select("row_id", "lon", "lat", F.floor(F.col("lon") / cell).cast("int").alias("_cx"), F.floor(F.col("lat") / cell).cast("int").alias("_cy"))
-    inside = p.join(z, ["_cx", "_cy"]).where(
-        F.col("lon").between(F.col("xmin"), F.col("xmax")) & F.col("lat").between(F.col("ymin"), F.col("ymax")) & geo.in_polygon(F.col("lon"), F.col("lat"), F.col("xs"), F.col("ys"))
-    )
-    reach = geo.haversine(F.col("lon"), F.col("lat"), F.col("cx"), F.col("cy")) - F.col("maxradius")
-    return inside.groupBy("row_id").agg(F.min_by("zone", F.struct(F.round(reach, 3), "zone")).alias("in_zone"))
+    lists = z.groupBy("_cx", "_cy").agg(F.collect_list(F.struct("zone", "cx", "cy", "maxradius", "xmin", "xmax", "ymin", "ymax", "xs", "ys")).alias("_zones"))
+    lon, lat = F.col("lon"), F.col("lat")
+    holds = lambda z: lon.between(z["xmin"], z["xmax"]) & lat.between(z["ymin"], z["ymax"]) & geo.in_polygon(lon, lat, z["xs"], z["ys"])
+    reach = lambda z: F.struct(F.round(geo.haversine(lon, lat, z["cx"], z["cy"]) - z["maxradius"], 3).alias("reach"), z["zone"].alias("zone"))
+    x = points.withColumn("_cx", F.floor(lon / cell).cast("int")).withColumn("_cy", F.floor(lat / cell).cast("int")).join(lists, ["_cx", "_cy"], "left")
+    found = F.when(F.col("_zones").isNotNull(), F.array_min(F.transform(F.filter("_zones", holds), reach))["zone"])
+    return x.withColumn(name, found).drop("_cx", "_cy", "_zones")
+
+
+def zone_of(points: DataFrame, geom: DataFrame, cell: float = 1.0) -> DataFrame:
+    """(row_id, in_zone) of points inside a zone."""
+    return in_zone(points.select("row_id", "lon", "lat"), geom, "in_zone", cell).where("in_zone is not null").select("row_id", "in_zone")
 
 
 def fence(points: DataFrame, geom: DataFrame, cell: float = 1.0) -> DataFrame:
     """``in_zone`` of every ping, Z0 outside all zones; a column that is already there stays."""
     if "in_zone" in points.columns:
         return points
-    return points.join(zone_of(points, geom, cell), "row_id", "left").withColumn("in_zone", F.coalesce("in_zone", F.lit(OUTSIDE)))
+    return in_zone(points, geom, "in_zone", cell).withColumn("in_zone", F.coalesce("in_zone", F.lit(OUTSIDE)))
 
 
 CELL_RADIUS_M = 79_000.0  # no point of a one-degree cell lies farther from its middle
@@ -152,8 +159,8 @@ def from_vertices(vertices: DataFrame, name: str | None = None, epsg: int = 4326
 
 def without_land(points: DataFrame, land: DataFrame, water: DataFrame) -> DataFrame:
     """Pings but those inside land and not inside water."""
-    dry = zone_of(points, land).join(zone_of(points, water).select("row_id"), "row_id", "left_anti")
-    return points.join(dry.select("row_id"), "row_id", "left_anti")
+    x = in_zone(in_zone(points, land, "_land"), water, "_water")
+    return x.where("_land is null or _water is not null").drop("_land", "_water")
 
 
 def transits(fenced: DataFrame, track: Sequence[str] = ("mmsi",)) -> DataFrame:
@@ -161,27 +168,28 @@ def transits(fenced: DataFrame, track: Sequence[str] = ("mmsi",)) -> DataFrame:
 
     A ping where the zone changes ends one edge and begins the next.  Pings before
     the first change belong to no edge if there is a change at all; the last edge
-    (``final``) runs to the end of the track.
+    (``final``) runs to the end of the track.  ``_was`` is the ping before in the edge.
     """
-    w = along(track)
-    change = F.coalesce((F.col("in_zone") != F.lag("in_zone").over(w)).cast("int"), F.lit(0))
-    x = fenced.withColumn("_c", change).withColumn("_k", F.sum("_c").over(running(w)).cast("int"))
-    x = x.withColumn("_last", F.max("_k").over(Window.partitionBy(*track)))
+    x = neighbours(placed(fenced, track), ("lon", "lat", "time", "in_zone"), track, before="_was")
+    x = x.withColumn("_c", F.coalesce((F.col("in_zone") != F.col("_was.in_zone")).cast("int"), F.lit(0)))
+    x = numbered(x, F.col("_c"), "_k", track, "_last").drop("_day")
     edge = F.explode(F.when((F.col("_c") == 1) & (F.col("_k") > 1), F.array(F.col("_k") - 1, F.col("_k"))).otherwise(F.array("_k")))
     x = x.withColumn("edge", edge).where((F.col("edge") > 0) | (F.col("_last") == 0))
-    return x.withColumn("final", F.col("edge") == F.col("_last")).drop("_c", "_k", "_last")
+    opens = (F.col("_c") == 1) & (F.col("edge") == F.col("_k"))
+    x = x.withColumn("_was", F.when(~opens, F.col("_was"))).withColumn("final", F.col("edge") == F.col("_last"))
+    return x.drop("_c", "_k", "_last")
 
 
 def edge_statistics(pings: DataFrame, track: Sequence[str] = ("mmsi",), static: Sequence[str] = ()) -> DataFrame:
     """One row per edge of ``transits``: zones, times, ways, speeds and - where the columns are - depth, shore and port distances.
 
     Numbers are plain numbers (the CSV writer formats them); speeds and minutes of
-    an edge with one ping are null, as is rcv_zone of the last edge.
+    an edge with one ping are null, as is rcv_zone of the last edge.  src_name and
+    rcv_name are the zones' names.  Edges of any length are summed map-side.
     """
     key = [*track, "edge"]
-    w = Window.partitionBy(*key).orderBy("time", "row_id")
-    d = geo.haversine(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"))
-    x = pings.withColumn("_d", d).withColumn("_kn", geo.knots(F.col("_d"), F.col("time") - F.lag("time").over(w)))
+    d = geo.haversine(F.col("_was.lon"), F.col("_was.lat"), F.col("lon"), F.col("lat"))
+    x = pings.withColumn("_d", d).withColumn("_kn", geo.knots(F.col("_d"), F.col("time") - F.col("_was.time")))
     at = F.struct("time", "row_id")
     end = lambda f, c: f(c, at)
     more = []
@@ -207,7 +215,7 @@ def edge_statistics(pings: DataFrame, track: Sequence[str] = ("mmsi",), static:
     seen = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd HH:mm 'UTC'")
     src, rcv = zone_number(F.col("_src")), zone_number(F.col("_rcv"))
     return g.select(
-        *key, *static, src.alias("src_zone"), F.when(~F.col("final"), rcv).alias("rcv_zone"),
+        *key, *static, src.alias("src_zone"), F.when(~F.col("final"), rcv).alias("rcv_zone"), F.col("_src").alias("src_name"), F.when(~F.col("final"), F.col("_rcv")).alias("rcv_name"),
         F.when(F.col("final"), src.cast("string")).otherwise(F.concat_ws("_", "_src", "_rcv")).alias("transit_nodes"),
         "first_time", "last_time", seen("first_time").alias("first_seen_in_zone"), seen("last_time").alias("last_seen_in_zone"),
         F.year(first).alias("year"), F.month(first).alias("month"), F.dayofmonth(first).alias("day"), "pings",

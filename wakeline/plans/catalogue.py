@@ -426,13 +426,9 @@ a AS (SELECT mmsi, edge, bool_or(final) AS final, first(in_zone ORDER BY time, r
 SELECT mmsi, edge, src AS src_zone, CASE WHEN NOT final THEN rcv END AS rcv_zone, first_time, last_time, pings, cumulative_distance_meters, velocity_knots_min, velocity_knots_avg, velocity_knots_max,
   CASE WHEN pings > 1 THEN round((last_time - first_time) / 60e0, 2) END AS minutes_spent_in_zone FROM a""")
 def transit_edges(spark, d):
-    t = zones.transits(fenced(spark, d))
-    e = zones.edge_statistics(t, static=())
-    at = F.struct("time", "row_id")
-    names = t.groupBy("mmsi", "edge").agg(F.min_by("in_zone", at).alias("_s"), F.max_by("in_zone", at).alias("_r"), F.max("final").alias("_f"))
-    x = e.join(names, ["mmsi", "edge"])
+    e = zones.edge_statistics(zones.transits(fenced(spark, d)))
     two = [F.round(c, 2).alias(c) for c in ("velocity_knots_min", "velocity_knots_avg", "velocity_knots_max", "minutes_spent_in_zone")]
-    return x.select("mmsi", "edge", F.col("_s").alias("src_zone"), F.when(~F.col("_f"), F.col("_r")).alias("rcv_zone"), "first_time", "last_time", "pings", "cumulative_distance_meters", *two)
+    return e.select("mmsi", "edge", F.col("src_name").alias("src_zone"), F.col("rcv_name").alias("rcv_zone"), "first_time", "last_time", "pings", "cumulative_distance_meters", *two)
 
 
 @query(f"""WITH {PINGS}, {ZONES}, {INSIDE}, {TRANSITS} SELECT mmsi, edge, count(*) FILTER ((row_id % 600) / 10e0 BETWEEN 0.01 AND 5) AS minutes_within_10m_5km_shoredist,
@@ -586,16 +582,24 @@ def csv_rows(spark, d):
     return export.csv_rows(pings(spark, d).select("row_id", "mmsi", "time", "lon", "lat", "source"))
 
 
-@query(f"""WITH {PINGS} SELECT mmsi, count(*) AS points, min(time) AS first, max(time) AS last FROM pings GROUP BY mmsi""")
+_R4 = "round({} * 10000) / 10000"
+
+
+@query(f"""WITH {PINGS} SELECT mmsi, list({_R4.format('lon')} ORDER BY time, row_id) AS x, list({_R4.format('lat')} ORDER BY time, row_id) AS y, list(time ORDER BY time, row_id) AS t FROM pings GROUP BY mmsi""")
 def track_json(spark, d):
     m = export.track_json(pings(spark, d))
-    v = F.from_json("message", "x array<double>, y array<double>, t array<bigint>")
-    return m.withColumn("v", v).select("mmsi", F.size("v.x").cast("long").alias("points"), F.element_at("v.t", 1).alias("first"), F.element_at("v.t", -1).alias("last"))
+    v = F.from_json("message", "msgtype string, meta struct<mmsi: bigint>, x array<double>, y array<double>, t array<bigint>")
+    return m.select(v.alias("v")).where("v.msgtype = 'track_vector'").select("v.meta.mmsi", "v.x", "v.y", "v.t")
 
 
-@query()
+@query(f"""WITH {PINGS}, g AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY mmsi ORDER BY time, row_id) >= 86400 THEN 1 ELSE 0 END AS b FROM pings),
+k AS (SELECT *, CAST(sum(b) OVER (PARTITION BY mmsi ORDER BY time, row_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS idx FROM g)
+SELECT mmsi, idx, 'LineString' AS kind, list(lon ORDER BY time, row_id) AS lon, list(lat ORDER BY time, row_id) AS lat FROM k GROUP BY mmsi, idx""")
 def track_geojson(spark, d):
-    return export.geojson(tracks.split_timedelta(pings(spark, d), 86_400), ("mmsi", "idx"))
+    f = export.geojson(tracks.split_timedelta(pings(spark, d), 86_400), ("mmsi", "idx"))
+    v = F.from_json("feature", "geometry struct<type: string, coordinates: array<array<double>>>, properties struct<mmsi: bigint, idx: int>").alias("v")
+    at = lambda k: F.transform("v.geometry.coordinates", lambda c: c[k])
+    return f.select(v).select("v.properties.mmsi", "v.properties.idx", F.col("v.geometry.type").alias("kind"), at(0).alias("lon"), at(1).alias("lat"))
 
 
 @query()

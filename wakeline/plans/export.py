@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.scalar import round_floats, sanitize
+from wakeline.operators.tracks import MOST_PINGS, parts
 
 # Order of the columns of a track file; decimals of some.
 ORDER = (
@@ -40,9 +41,10 @@ def csv_rows(df: DataFrame, track: Sequence[str] = ("mmsi",), skip: Sequence[str
     return x.select(*[text(c).alias(c) for c in names])
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False, **kw) -> None:
+def write_csv(df: DataFrame, path: str, single: bool = False, compression: str = "none", **kw) -> None:
+    """Track files; ``compression`` is that of the writer (gzip, ...)."""
     rows = csv_rows(df, **kw)
-    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).csv(path)
+    (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).option("compression", compression).csv(path)
 
 
 def write_csv_rows(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -66,21 +68,21 @@ def write_edges(edges: DataFrame, path: str) -> None:
     out.orderBy(F.lpad("mmsi", 9, "0"), F.col("edge").cast("int")).write.mode("overwrite").option("header", True).csv(path)
 
 
-def track_json(df: DataFrame, track: Sequence[str] = ("mmsi",), meta: Sequence[str] = (), precision: float | None = 1e-4) -> DataFrame:
-    """One JSON message per track: msgtype, key, x, y, t and meta."""
+def track_json(df: DataFrame, track: Sequence[str] = ("mmsi",), meta: Sequence[str] = (), precision: float | None = 1e-4, most: int = MOST_PINGS) -> DataFrame:
+    """One JSON message per track: msgtype, key, x, y, t and meta; a track of more than ``most`` pings in numbered parts."""
     lon, lat = (round_floats(F.col(c), precision) if precision else F.col(c) for c in ("lon", "lat"))
     p = F.array_sort(F.collect_list(F.struct("time", "row_id", lon.alias("x"), lat.alias("y"))))
-    g = df.groupBy(*track).agg(p.alias("p"), *[F.min_by(c, F.struct("time", "row_id")).cast("string").alias(c) for c in meta])
+    g = parts(df, track, most).groupBy(*track, "part").agg(p.alias("p"), *[F.min_by(c, F.struct("time", "row_id")).cast("string").alias(c) for c in meta])
     m = F.to_json(F.struct(F.lit("track_vector").alias("msgtype"), F.struct(*track, *meta).alias("meta"), F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.time").alias("t")))
-    return g.select(*track, m.alias("message"))
+    return g.select(*track, "part", m.alias("message"))
 
 
-def geojson(df: DataFrame, track: Sequence[str] = ("mmsi",)) -> DataFrame:
-    """One GeoJSON line per track."""
+def geojson(df: DataFrame, track: Sequence[str] = ("mmsi",), most: int = MOST_PINGS) -> DataFrame:
+    """One GeoJSON line per track, or part of one."""
     p = F.transform(F.array_sort(F.collect_list(F.struct("time", "row_id", "lon", "lat"))), lambda q: F.array(q["lon"], q["lat"]))
-    g = df.groupBy(*track).agg(p.alias("p"))
+    g = parts(df, track, most).groupBy(*track, "part").agg(p.alias("p"))
     line = F.struct(F.lit("LineString").alias("type"), F.col("p").alias("coordinates"))
-    return g.select(*track, F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), F.struct(*track).alias("properties"))).alias("feature"))
+    return g.select(*track, "part", F.to_json(F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), F.struct(*track).alias("properties"))).alias("feature"))
 
 
 def zone_json(geom: DataFrame) -> DataFrame:
