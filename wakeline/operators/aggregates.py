@@ -33,11 +33,12 @@ def static_aggregate(static: DataFrame, columns: Sequence[str] = AGGREGATED, by:
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key, as an insert that does nothing on conflict leaves it.
 
-    Decided by a combined ``min`` per key and joined back on the unique order columns,
-    so a key with very many copies is never sorted in one task.
+    One pass: a combined ``min_by`` per key carries the row along, so a key with very
+    many copies sends one row a task and is never sorted in one place.
     """
-    firsts = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("_o")).select("_o.*")
-    return df.join(firsts, list(order), "left_semi")
+    rest = [c for c in df.columns if c not in key]
+    firsts = df.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return firsts.select(*[F.col(c) if c in key else F.col(f"_r.{c}") for c in df.columns])
 
 
 def valid_range(df: DataFrame) -> DataFrame:

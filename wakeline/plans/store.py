@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions.scalar import coarse_types, month_key
@@ -14,6 +16,9 @@ from wakeline.schema import DYNAMIC, DYNAMIC_KEY, STATIC, STATIC_KEY
 from wakeline.sources import files, nmea, provider_csv
 
 
+MOST_MONTHS = 240  # months told apart when stored keys are looked up
+
+
 class Store:
     """Tables ``dynamic``, ``static``, ``static_aggregate`` and ``files`` below one folder of a shared file system."""
 
@@ -51,20 +56,34 @@ class Store:
         """Append rows, each to its own month; a row whose key is stored or came earlier in the batch is left out.
 
         Rows are placed by (month, mmsi) and sorted by mmsi and time inside the files,
-        so that later scans prune by both.  ``exact`` looks up stored keys of the
-        touched months; without it only repeats within the batch go.
+        so that later scans prune by both.  ``exact`` looks up the stored keys that the
+        batch can meet; without it only repeats within the batch go.
         """
         key = list(key or (DYNAMIC_KEY if table == "dynamic" else STATIC_KEY)["strict"])
         x = rows.withColumn("month", month_key(F.col("time"))).withColumn("_seq", F.monotonically_increasing_id())
         x = x.groupBy(*key).agg(F.min_by(F.struct(*[c for c in x.columns if c != "_seq" and c not in key]), "_seq").alias("_r")).select(*key, "_r.*")
         if exact and self._exists(table):
-            months = [r.month for r in x.select("month").distinct().limit(10_000).collect()]
-            old = (self.dynamic() if table == "dynamic" else self.static()).where(F.col("month").isin(months)).select(*key)
+            old = (self.dynamic() if table == "dynamic" else self.static()).where(self._touched(x)).select(*key)
             x = x.join(old, key, "left_anti")
         cols = [c.split()[0] for c in (DYNAMIC if table == "dynamic" else STATIC).split(", ")]
         x = x.select(*cols, "month")
         x.repartition("month", F.pmod(F.hash("mmsi"), F.lit(64))).sortWithinPartitions("month", "mmsi", "time").write.mode("append").partitionBy("month").parquet(self._at(table))
 
+    @staticmethod
+    def _touched(x: DataFrame, most: int = MOST_MONTHS) -> Column:
+        """Where rows equal to those of a batch can be: its months, and in each the span of its times and vessels.
+
+        Files of a stream hold short spans of time each, so a small batch reads few of
+        them.  Months are few; of a batch with more than ``most`` only the whole span is used.
+        """
+        spans = x.groupBy("month").agg(*[f(c).alias(f"{n}_{c}") for c in ("time", "mmsi") for n, f in (("min", F.min), ("max", F.max))]).limit(most + 1).collect()
+        if not spans:
+            return F.lit(False)
+        if len(spans) > most:
+            return F.lit(True)
+        within = lambda r, c: F.col(c).between(r[f"min_{c}"], r[f"max_{c}"])
+        return reduce(or_, [(F.col("month") == r.month) & within(r, "time") & within(r, "mmsi") for r in spans])
+
     def deduplicate(self, key: Sequence[str] = ("mmsi", "time", "source")) -> DataFrame:
         """Stored positions with one row per key."""
         return self.dynamic().dropDuplicates(list(key))
