@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import geo
 from wakeline.operators.grouped import as_numpy, grouped_blocks, key_change
-from wakeline.operators.tracks import numbered, placed, with_deltas
+from wakeline.operators.tracks import numbered, placed
 
 
 def score(lon1: Column, lat1: Column, t1: Column, lon2: Column, lat2: Column, t2: Column, speed: float, distance: float) -> Column:
@@ -36,8 +36,11 @@ def scores_np(lon1, lat1, t1, lon2, lat2, t2, speed: float, distance: float) ->
 
 def segments(df: DataFrame, distance: float, speed: float) -> DataFrame:
     """``seg``: numbers of the stretches without a leg above the speed or distance bound."""
-    d = with_deltas(placed(df))
-    return numbered(d, (F.col("delta_knots") > speed) | (F.col("delta_meters") > distance), "seg").drop("delta_seconds", "delta_meters", "delta_knots", "_day")
+    def breaks(here, was):
+        far = geo.haversine(was("lon"), was("lat"), here("lon"), here("lat"))
+        return (geo.knots(far, here("time") - was("time")) > speed) | (far > distance)
+
+    return numbered(placed(df), ("lon", "lat", "time"), breaks, "seg").drop("_day")
 
 
 def assign(distance: float, speed: float, minscore: float):

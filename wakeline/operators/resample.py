@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from wakeline.functions import geo
 from wakeline.functions.scalar import seconds_of
 from wakeline.operators.grouped import as_numpy, grouped_blocks, key_change
-from wakeline.operators.tracks import cumulated, neighbours, placed
+from wakeline.operators.tracks import cumulated, placed
 
 
 def one_per_time(df: DataFrame, track: Sequence[str], values: Sequence[str], day: Sequence[str] = ()) -> DataFrame:
@@ -34,11 +34,12 @@ def _paired(df: DataFrame, track: Sequence[str], values: Sequence[str]) -> DataF
     """Placed pings, one a time, in Mercator metres (_x, _y), with the next one (_then) and the track's first and last time (_t0, _tn)."""
     x = one_per_time(placed(df, track), track, values, ("_day",))
     x = x.withColumn("_x", geo.mercator_x(F.col("lon"))).withColumn("_y", geo.mercator_y(F.col("lat")))
-    x = neighbours(x, ("time", "_x", "_y", *values), track, after="_then", order=("time",))
-    days = x.groupBy(*track, "_day").agg(F.min("time").alias("_a"), F.max("time").alias("_b"))
-    w = Window.partitionBy(*track)
-    days = days.select(*track, "_day", F.min("_a").over(w).alias("_t0"), F.max("_b").over(w).alias("_tn"))
-    return x.join(days, [*track, "_day"])
+    keys, line, whole = [*track, "_day"], Window.partitionBy(*track).orderBy("_day"), Window.partitionBy(*track)
+    me = F.struct("time", "_x", "_y", *values)
+    days = x.groupBy(*keys).agg(F.min_by(me, "time").alias("_head"), F.max("time").alias("_b"))
+    days = days.select(*keys, F.lead("_head").over(line).alias("_carry"), F.min("_head.time").over(whole).alias("_t0"), F.max("_b").over(whole).alias("_tn"))
+    x = x.withColumn("_then", F.lead(me).over(Window.partitionBy(*keys).orderBy("time"))).join(days, keys)
+    return x.withColumn("_then", F.coalesce("_then", "_carry")).drop("_carry")
 
 
 def interp_time(df: DataFrame, step: timedelta | int = timedelta(minutes=10), values: Sequence[str] = ("sog",), track: Sequence[str] = ("mmsi",)) -> DataFrame:

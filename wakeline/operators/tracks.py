@@ -9,7 +9,7 @@ Rows with a null key or time have no neighbours beyond their own day.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,9 +65,34 @@ def cumulated(x: DataFrame, value: str, name: str, track: Sequence[str] = ("mmsi
     return x.drop("_o", "_all")
 
 
-def numbered(x: DataFrame, breaks: Column, name: str, track: Sequence[str] = ("mmsi",), total: str | None = None) -> DataFrame:
-    """Number the runs of placed rows between breaks, from 0; a null break is none."""
-    return cumulated(x.withColumn("_b", F.coalesce(breaks.cast("int"), F.lit(0))), "_b", name, track, total).drop("_b")
+Break = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+
+
+def numbered(x: DataFrame, columns: Sequence[str], breaks: Break, name: str, track: Sequence[str] = ("mmsi",), total: str | None = None, was: str | None = None, broken: str | None = None) -> DataFrame:
+    """Number the runs of placed rows between breaks, from 0.
+
+    ``breaks(here, was)`` says from ``columns`` of a row and of the one before whether
+    there is a break between; null is none.  Breaks inside a day are summed along the
+    day; one row a day tells of the break at its start and the sum of the days before.
+    ``total``: number of the track's breaks; ``was``: struct of the row before;
+    ``broken``: whether a break lies before the row.
+    """
+    keys, at, me = [*track, "_day"], F.struct(*ORDER), F.struct(*columns)
+    w, line = along(keys), Window.partitionBy(*track).orderBy("_day")
+    yes = lambda here, before: F.when(F.col(before).isNotNull(), F.coalesce(breaks(lambda c: F.col(f"{here}{c}"), lambda c: F.col(f"{before}.{c}")).cast("int"), F.lit(0))).otherwise(0)
+    x = x.withColumn("_in", F.lag(me).over(w)).withColumn("_b", yes("", "_in")).withColumn(name, F.sum("_b").over(running(w)))
+    days = x.groupBy(*keys).agg(F.min_by(me, at).alias("_first"), F.max_by(me, at).alias("_last"), F.sum("_b").alias("_s"))
+    days = days.withColumn("_carry", F.lag("_last").over(line)).withColumn("_b0", yes("_first.", "_carry")).withColumn("_s", F.col("_s") + F.col("_b0"))
+    before = F.coalesce(F.sum("_s").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_b0")
+    days = days.select(*keys, "_carry", "_b0", before.alias("_o"), F.sum("_s").over(Window.partitionBy(*track)).alias("_all"))
+    x = x.join(days, keys, "left").withColumn(name, (F.col(name) + F.coalesce("_o", F.lit(0))).cast("int"))
+    if total:
+        x = x.withColumn(total, F.coalesce("_all", F.lit(0)).cast("int"))
+    if was:
+        x = x.withColumn(was, F.coalesce("_in", "_carry"))
+    if broken:
+        x = x.withColumn(broken, F.when(F.col("_in").isNull(), F.coalesce("_b0", F.lit(0))).otherwise(F.col("_b")) == 1)
+    return x.drop("_in", "_b", "_b0", "_o", "_all", "_carry")
 
 
 def deltas(df: DataFrame, track: Sequence[str] = ("mmsi",)) -> DataFrame:
@@ -84,14 +109,12 @@ def with_deltas(x: DataFrame, track: Sequence[str] = ("mmsi",)) -> DataFrame:
 
 def split_longitude(df: DataFrame, tolerance: float = 300.0, track: Sequence[str] = ("mmsi",)) -> DataFrame:
     """lon_seg: cut where the longitude leaps over the antimeridian."""
-    x = neighbours(placed(df, track), ("lon",), track, before="_was")
-    return numbered(x, F.abs(F.col("lon") - F.col("_was.lon")) > tolerance, "lon_seg", track).drop("_was", "_day")
+    return numbered(placed(df, track), ("lon",), lambda here, was: F.abs(here("lon") - was("lon")) > tolerance, "lon_seg", track).drop("_day")
 
 
 def split_timedelta(df: DataFrame, maxdelta: timedelta | int = timedelta(weeks=2), track: Sequence[str] = ("mmsi",)) -> DataFrame:
     """idx: cut where the time between pings reaches ``maxdelta``; numbered per mmsi."""
-    x = neighbours(placed(df, track), ("time",), track, before="_was")
-    x = numbered(x, F.col("time") - F.col("_was.time") >= seconds_of(maxdelta), "_seg", track).drop("_was", "_day")
+    x = numbered(placed(df, track), ("time",), lambda here, was: here("time") - was("time") >= seconds_of(maxdelta), "_seg", track).drop("_day")
     if tuple(track) == ("mmsi",):
         return x.withColumnRenamed("_seg", "idx")
     # segments are numbered as such; their rows get the numbers by a join
@@ -147,9 +170,8 @@ def split_tracks(
 
 def runs(df: DataFrame, value: str, track: Sequence[str] = ("mmsi",)) -> DataFrame:
     """Maximal runs of one value along each track: track columns, the value, first_time, last_time, pings; null is a value."""
-    x = neighbours(placed(df, track), ("time", value), track, before="_was")
-    change = F.col("_was").isNull() | ~F.col(value).eqNullSafe(F.col(f"_was.{value}"))
-    return numbered(x, change, "_run", track).groupBy(*track, "_run").agg(
+    change = lambda here, was: ~here(value).eqNullSafe(was(value))
+    return numbered(placed(df, track), (value,), change, "_run", track).groupBy(*track, "_run").agg(
         F.first(value).alias(value), F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.count(F.lit(1)).alias("pings")
     ).drop("_run")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import geo
 from wakeline.functions.scalar import zone_number
-from wakeline.operators.tracks import neighbours, numbered, placed
+from wakeline.operators.tracks import numbered, placed
 
 OUTSIDE = "Z0"
 
@@ -170,12 +170,11 @@ def transits(fenced: DataFrame, track: Sequence[str] = ("mmsi",)) -> DataFrame:
     the first change belong to no edge if there is a change at all; the last edge
     (``final``) runs to the end of the track.  ``_was`` is the ping before in the edge.
     """
-    x = neighbours(placed(fenced, track), ("lon", "lat", "time", "in_zone"), track, before="_was")
-    x = x.withColumn("_c", F.coalesce((F.col("in_zone") != F.col("_was.in_zone")).cast("int"), F.lit(0)))
-    x = numbered(x, F.col("_c"), "_k", track, "_last").drop("_day")
-    edge = F.explode(F.when((F.col("_c") == 1) & (F.col("_k") > 1), F.array(F.col("_k") - 1, F.col("_k"))).otherwise(F.array("_k")))
+    moved = lambda here, was: here("in_zone") != was("in_zone")
+    x = numbered(placed(fenced, track), ("lon", "lat", "time", "in_zone"), moved, "_k", track, total="_last", was="_was", broken="_c").drop("_day")
+    edge = F.explode(F.when(F.col("_c") & (F.col("_k") > 1), F.array(F.col("_k") - 1, F.col("_k"))).otherwise(F.array("_k")))
     x = x.withColumn("edge", edge).where((F.col("edge") > 0) | (F.col("_last") == 0))
-    opens = (F.col("_c") == 1) & (F.col("edge") == F.col("_k"))
+    opens = F.col("_c") & (F.col("edge") == F.col("_k"))
     x = x.withColumn("_was", F.when(~opens, F.col("_was"))).withColumn("final", F.col("edge") == F.col("_last"))
     return x.drop("_c", "_k", "_last")
 

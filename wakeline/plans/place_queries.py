@@ -6,14 +6,16 @@ Files are written from the tables (or by a rule) to the shared folder and read b
 from __future__ import annotations
 
 import json
+from datetime import timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
-from wakeline.operators import tracks, zones
+from wakeline.operators import resample, tracks, zones
 from wakeline.plans import export, service
-from wakeline.plans.catalogue import BOX, END, PINGS, START, ZONES, _T, geom, hav, pings, registrar, table
+from wakeline.plans.catalogue import _ILAT, _ILON, _MX, _MY, _T, BOX, END, INSIDE, PINGS, START, TRANSITS, ZONES, geom, hav, pings, registrar, table
+from wakeline.plans.graph import graph
 from wakeline.plans.ingest_queries import _positions_sql, position_lines, voyage_lines
 from wakeline.plans.shipping import fresh_folder, put_file
 from wakeline.plans.store import Store, ingest
@@ -155,6 +157,22 @@ def service_heatmap(spark, d):
     return m.select(F.from_json("message", "cx int, cy int, pings bigint").alias("v")).select("v.*")
 
 
+_BOXED = f"{_T} AND lon BETWEEN {BOX['xmin']} AND {BOX['xmax']} AND lat BETWEEN {BOX['ymin']} AND {BOX['ymax']}"
+_R4 = "round({} * 10000) / 10000"
+
+
+@query(f"""WITH {PINGS}, b AS (SELECT * FROM pings WHERE {_BOXED}),
+t AS (SELECT mmsi, list({_R4.format('lon')} ORDER BY time, row_id) AS x, list({_R4.format('lat')} ORDER BY time, row_id) AS y, list(time ORDER BY time, row_id) AS t FROM b GROUP BY mmsi)
+SELECT 'track_vector' AS msgtype, t.mmsi, r.name, t.x, t.y, t.t, CAST(NULL AS BIGINT) AS count FROM t LEFT JOIN vessel_registry r ON r.mmsi = t.mmsi
+UNION ALL SELECT 'done', NULL, NULL, NULL, NULL, NULL, count(*) FROM t""")
+def service_tracks(spark, d):
+    """Whole tracks of a box and span with what the registry knows of their vessels, and the count at the end."""
+    r = {"msgtype": "track_vectors_extra", "start": START, "end": END, "area": _AREA}
+    m = service.answer(r, pings(spark, d), table(spark, d, "vessel_registry"), decimate=None)
+    v = F.from_json("message", "msgtype string, meta struct<mmsi: bigint, reg_name: string>, x array<double>, y array<double>, t array<bigint>, count bigint")
+    return m.select(v.alias("v")).select("v.msgtype", "v.meta.mmsi", F.col("v.meta.reg_name").alias("name"), "v.x", "v.y", "v.t", "v.count")
+
+
 @query(f"WITH {PINGS} SELECT mmsi, list(lon ORDER BY time, row_id) AS lon, list(time ORDER BY time, row_id) AS time, arg_min(source, {{'t': time, 'r': row_id}}) AS source FROM pings GROUP BY mmsi")
 def track_arrays(spark, d):
     """Tracks as one row of arrays each, with what is constant along them."""
@@ -176,6 +194,59 @@ def csv_plain_rows(spark, d):
     return spark.read.text(out).select(F.regexp_replace("value", '"', "").alias("line"))
 
 
+# -- the movement graph -----------------------------------------------------
+
+_STEP = 3600
+_SAMPLES = f"""{PINGS.replace('pings AS', 'raw AS', 1)}, raw0 AS (SELECT * FROM raw WHERE abs(lat) < 85),
+gap AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY mmsi ORDER BY time, row_id) >= 604800 THEN 1 ELSE 0 END AS b FROM raw0),
+cut AS (SELECT *, CAST(sum(b) OVER (PARTITION BY mmsi ORDER BY time, row_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS idx FROM gap),
+one AS (SELECT mmsi * 1000 + idx AS mmsi, time, arg_min(lon, row_id) AS lon, arg_min(lat, row_id) AS lat FROM cut GROUP BY ALL),
+m AS (SELECT *, {_MX.format('lon')} AS x, {_MY.format('lat')} AS y, min(time) OVER (PARTITION BY mmsi) AS t0, max(time) OVER (PARTITION BY mmsi) AS tn FROM one),
+l AS (SELECT *, lead(time) OVER w AS nt, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM m WINDOW w AS (PARTITION BY mmsi ORDER BY time)),
+grid AS (SELECT mmsi, t0 + unnest(generate_series(0, CAST(ceil((tn - t0) / {_STEP}e0) AS BIGINT))) * {_STEP} AS gt FROM (SELECT DISTINCT mmsi, t0, tn FROM m) WHERE tn > t0),
+j AS (SELECT grid.mmsi, grid.gt, l.* EXCLUDE (mmsi), CASE WHEN l.nt IS NOT NULL THEN (grid.gt - l.time) / CAST(l.nt - l.time AS DOUBLE) END AS f FROM grid JOIN l ON l.mmsi = grid.mmsi AND grid.gt >= l.time AND (grid.gt < l.nt OR l.nt IS NULL)),
+pings AS (SELECT row_number() OVER () AS row_id, mmsi, gt AS time, {_ILON.format('CASE WHEN f IS NULL THEN x ELSE x + (nx - x) * f END')} AS lon, {_ILAT.format('CASE WHEN f IS NULL THEN y ELSE y + (ny - y) * f END')} AS lat FROM j)"""
+
+
+@query(f"""WITH {_SAMPLES}, {ZONES}, {INSIDE}, {TRANSITS},
+g AS (SELECT mmsi, edge, bool_or(final) AS final, first(in_zone ORDER BY time, row_id) AS src, last(in_zone ORDER BY time, row_id) AS rcv, min(time) AS first_time, max(time) AS last_time, count(*) AS pings FROM tr GROUP BY mmsi, edge)
+SELECT mmsi // 1000 AS mmsi, CAST(mmsi % 1000 AS INTEGER) AS idx, edge, src AS src_name, CASE WHEN NOT final THEN rcv END AS rcv_name, first_time, last_time, pings FROM g""")
+def graph_transits(spark, d):
+    """Edges of the graph where bounds of speed and distance part nothing: splitting, encoding, resampling, fencing and transits in one."""
+    p = pings(spark, d).where(F.abs("lat") < 85)
+    e = graph(p, geom(spark, d), speed=1e9, distance=1e12, minscore=-2.0, step=timedelta(seconds=_STEP))
+    return e.select("mmsi", "idx", "edge", "src_name", "rcv_name", "first_time", "last_time", "pings")
+
+
+def _azimuth_sql(steps: int = 8) -> str:
+    """CTEs of the inverse problem on the ellipsoid, iterated a fixed number of times, over n (k, lon, lat, lon2, lat2)."""
+    f = "(1 / 298.257223563e0)"
+    out = [f"""v0 AS (SELECT k, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2, total, total AS lam FROM (SELECT k, atan((1 - {f}) * tan(radians(lat))) AS u1, atan((1 - {f}) * tan(radians(lat2))) AS u2,
+  radians(lon2 - lon + CASE WHEN lon2 - lon >= 180 THEN -360 WHEN lon2 - lon < -180 THEN 360 ELSE 0 END) AS total FROM n))"""]
+    for i in range(steps):
+        out.append(f"""a{i} AS (SELECT *, sqrt(power(c2 * sin(lam), 2) + power(c1 * s2 - s1 * c2 * cos(lam), 2)) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM v{i}),
+b{i} AS (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss = 0 THEN 0 ELSE c1 * c2 * sin(lam) / ss END AS sa FROM a{i}),
+d{i} AS (SELECT *, CASE WHEN 1 - sa * sa = 0 THEN 0 ELSE cs - 2 * s1 * s2 / (1 - sa * sa) END AS c2m, {f} / 16 * (1 - sa * sa) * (4 + {f} * (4 - 3 * (1 - sa * sa))) AS c FROM b{i}),
+v{i + 1} AS (SELECT k, s1, c1, s2, c2, total, total + (1 - c) * {f} * sa * (sigma + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1))) AS lam FROM d{i})""")
+    return ",\n".join(out) + f",\naz AS (SELECT k, degrees(atan2(c2 * sin(lam), c1 * s2 - s1 * c2 * cos(lam))) AS az FROM v{steps})"
+
+
+@query(f"""WITH {_SAMPLES.replace('>= 604800', '>= 1e18')}, s AS (SELECT *, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM pings WINDOW w AS (PARTITION BY mmsi ORDER BY time)),
+n AS (SELECT row_id AS k, lon, lat, lon2, lat2 FROM s WHERE lon2 IS NOT NULL), {_azimuth_sql()},
+last AS (SELECT mmsi * 1000 AS mmsi, last(cog ORDER BY time, row_id) AS cog FROM raw0 GROUP BY mmsi)
+SELECT s.mmsi // 1000 AS mmsi, s.time, round(CASE WHEN az.az IS NULL THEN last.cog ELSE az.az END, 3) + 0 AS cog FROM s JOIN last ON last.mmsi = s.mmsi LEFT JOIN az ON az.k = s.row_id
+WHERE s.lon2 IS NULL OR abs(s.lon2 - s.lon) + abs(s.lat2 - s.lat) > 1e-4""")
+def geodesic_courses(spark, d):
+    """Courses from sample to sample on the ellipsoid; where a vessel hardly moves a course says nothing and is left out on both sides."""
+    from pyspark.sql import Window
+
+    x = resample.geo_interp_time(pings(spark, d).where(F.abs("lat") < 85), _STEP)
+    w = Window.partitionBy("mmsi").orderBy("time")
+    x = x.withColumn("_x", F.lead("lon").over(w)).withColumn("_y", F.lead("lat").over(w))
+    x = x.where(F.col("_x").isNull() | (F.abs(F.col("_x") - F.col("lon")) + F.abs(F.col("_y") - F.col("lat")) > 1e-4))
+    return x.select("mmsi", "time", (F.round("cog", 3) + F.lit(0.0)).alias("cog"))
+
+
 # -- files and streams ------------------------------------------------------
 
 _ONE = _positions_sql().replace("FROM r", "FROM r WHERE k = 0")

@@ -29,8 +29,11 @@ def validate(request: dict) -> dict:
     return request
 
 
-def answer(request: dict, pings: DataFrame, registry: DataFrame | None = None, geom: DataFrame | None = None) -> DataFrame:
-    """Messages that answer a request; track requests end with a ``done`` message that counts the tracks."""
+def answer(request: dict, pings: DataFrame, registry: DataFrame | None = None, geom: DataFrame | None = None, decimate: float | None = 1e-4) -> DataFrame:
+    """Messages that answer a request; track requests end with a ``done`` message that counts the tracks.
+
+    Tracks are simplified by ``decimate`` (square degrees of a triangle), or whole if it is None.
+    """
     kind = validate(request)["msgtype"]
     if kind == "validrange":
         return valid_range(pings).select(F.to_json(F.struct(F.lit(kind).alias("msgtype"), "start", "end")).alias("message"))
@@ -49,6 +52,6 @@ def answer(request: dict, pings: DataFrame, registry: DataFrame | None = None, g
     if kind == "track_vectors_extra" and registry is not None:
         x = joins.with_registry(x, registry)
         meta = tuple(c for c in x.columns if c.startswith("reg_"))
-    out = track_json(simplify(x, 1e-4), meta=meta)
+    out = track_json(x if decimate is None else simplify(x, decimate), meta=meta)
     done = out.agg(F.count(F.lit(1)).alias("count")).select(F.to_json(F.struct(F.lit("done").alias("msgtype"), "count")).alias("message"))
     return out.select("message").unionByName(done)
