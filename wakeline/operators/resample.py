@@ -99,40 +99,42 @@ def interp_spacing(df: DataFrame, spacing: float, values: Sequence[str] = ("sog"
 
 
 def spline(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Not-a-knot cubic spline through (t, y), evaluated (and extrapolated) at ``at``; y may have several columns."""
+    """Cubic spline through (t, y), evaluated (and extrapolated) at ``at``; y may have several columns.
+
+    The unknowns are the bends (second derivatives) at the inner knots: the slope must
+    not jump there.  The first two pieces are one cubic, and so are the last two, which
+    makes the outer bends straight continuations of the two beside them.
+    """
     n = len(t)
-    if n == 2:
-        return y[0] + (y[1] - y[0]) * ((at - t[0]) / (t[1] - t[0]))[:, None]
     h = np.diff(t).astype(float)
-    slope = np.diff(y, axis=0) / h[:, None]
-    if n == 3:  # one parabola through all points
-        c = (slope[1] - slope[0]) / (t[2] - t[0])
-        d = (at - t[0])[:, None]
-        return y[0] + slope[0] * d + c * d * (d - h[0])
-    # tridiagonal system of the knots' derivatives, with the not-a-knot rows folded in
-    low, mid, up = np.zeros(n), np.zeros(n), np.zeros(n)
-    rhs = np.zeros_like(y, dtype=float)
-    mid[1:-1] = 2 * (h[:-1] + h[1:])
-    up[1:-1], low[1:-1] = h[:-1], h[1:]
-    rhs[1:-1] = 3 * (h[1:, None] * slope[:-1] + h[:-1, None] * slope[1:])
-    mid[0], up[0] = h[1], h[0] + h[1]
-    rhs[0] = ((h[0] + 2 * up[0]) * h[1] * slope[0] + h[0] ** 2 * slope[1]) / up[0]
-    mid[-1], low[-1] = h[-2], h[-1] + h[-2]
-    rhs[-1] = (h[-1] ** 2 * slope[-2] + (2 * low[-1] + h[-1]) * h[-2] * slope[-1]) / low[-1]
-    for i in range(1, n):
-        f = low[i] / mid[i - 1]
-        mid[i] -= f * up[i - 1]
-        rhs[i] -= f * rhs[i - 1]
-    d = np.zeros_like(rhs)
-    d[-1] = rhs[-1] / mid[-1]
-    for i in range(n - 2, -1, -1):
-        d[i] = (rhs[i] - up[i] * d[i + 1]) / mid[i]
+    rise = np.diff(y, axis=0) / h[:, None]
+    bend = np.zeros((n, y.shape[1]))
+    if n == 3:
+        bend[:] = 2 * (rise[1] - rise[0]) / (t[2] - t[0])  # one parabola
+    elif n > 3:
+        m = n - 2
+        below, on, above = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+        jump = 6 * np.diff(rise, axis=0)
+        p, q = h[0] / h[1], h[-1] / h[-2]
+        on[0] += h[0] * (1 + p)
+        above[0] -= h[0] * p
+        on[-1] += h[-1] * (1 + q)
+        below[-1] -= h[-1] * q
+        for i in range(1, m):
+            w = below[i] / on[i - 1]
+            on[i] -= w * above[i - 1]
+            jump[i] -= w * jump[i - 1]
+        inner = np.zeros_like(jump)
+        inner[-1] = jump[-1] / on[-1]
+        for i in range(m - 2, -1, -1):
+            inner[i] = (jump[i] - above[i] * inner[i + 1]) / on[i]
+        bend[1:-1] = inner
+        bend[0] = inner[0] + p * (inner[0] - inner[1])
+        bend[-1] = inner[-1] + q * (inner[-1] - inner[-2])
     k = np.clip(np.searchsorted(t, at, side="right") - 1, 0, n - 2)
-    u = (at - t[k])[:, None]
-    hk = h[k][:, None]
-    c = (3 * slope[k] - 2 * d[k] - d[k + 1]) / hk
-    e = (d[k] + d[k + 1] - 2 * slope[k]) / hk**2
-    return y[k] + d[k] * u + c * u**2 + e * u**3
+    hk, left, right = h[k][:, None], (t[k + 1] - at)[:, None], (at - t[k])[:, None]
+    curve = bend[k] * left**3 / (6 * hk) + bend[k + 1] * right**3 / (6 * hk)
+    return curve + (y[k] / hk - bend[k] * hk / 6) * left + (y[k + 1] / hk - bend[k + 1] * hk / 6) * right
 
 
 def interp_cubic_spline(df: DataFrame, step: timedelta | int = timedelta(minutes=10), values: Sequence[str] = ("sog",), track: Sequence[str] = ("mmsi",)) -> DataFrame:
