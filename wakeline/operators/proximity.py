@@ -252,16 +252,21 @@ def join_block(metres: float, within_s: int, zones):
     return run
 
 
+def band_of(lat: Column, deg: float) -> tuple[Column, Column]:
+    """(band of latitude, its number of columns); columns widen towards the poles."""
+    bands = max(1, int(180 / deg))
+    band = F.least(F.greatest(F.floor((lat + 90) / deg), F.lit(0)), F.lit(bands - 1)).cast("long")
+    edge = F.greatest(F.abs(band * deg - 90), F.abs((band + 1) * deg - 90))
+    return band, F.greatest(F.lit(1), F.floor(F.cos(F.radians(edge)) * (360 / deg))).cast("long")
+
+
 def cell_of(lon: Column, lat: Column, t: Column, deg: float, slot_s: int, parts: tuple[int, int, float] | None = None) -> Column:
-    """One number for (slot, band of latitude, column of longitude); columns widen towards the poles.
+    """One number for (slot, band of latitude, column of longitude).
 
     ``parts`` (slots in a slot, bands in a band, least degrees of a column) gives
     the number of the fine cell: every fine cell lies in one cell as a whole.
     """
-    bands = max(1, int(180 / deg))
-    band = F.least(F.greatest(F.floor((lat + 90) / deg), F.lit(0)), F.lit(bands - 1)).cast("long")
-    widest = lambda b, d: F.floor(F.cos(F.radians(F.greatest(F.abs(b * d - 90), F.abs((b + 1) * d - 90)))) * (360 / d))
-    columns = F.greatest(F.lit(1), widest(band, deg)).cast("long")
+    band, columns = band_of(lat, deg)
     along = F.pmod(lon + 180, F.lit(360.0)) / 360 * columns
     col = F.least(F.floor(along), columns - 1).cast("long")
     if parts is None:
@@ -310,9 +315,12 @@ class Grid:
         """Distinct cells in reach; most rows lie well inside their own."""
         lon, lat, t = self.place
         into_y, into_t = F.pmod(lat + 90, F.lit(self.deg)), F.pmod(t, F.lit(self.slot_s))
+        _, columns = band_of(lat, self.deg)
+        along, wide = F.pmod(lon + 180, F.lit(360.0)) / 360 * columns, self.dx / 360 * columns * 1.001
+        into_x = along - F.floor(along)
         inner = (
             (into_y > self.dy) & (into_y < self.deg - self.dy) & (into_t >= self.within_s) & (into_t < self.slot_s - self.within_s)
-            & (self.coarse(lon - self.dx, lat, t) == self.coarse(lon + self.dx, lat, t))
+            & (into_x > wide) & (into_x < 1 - wide)
         )
         home = self.coarse(*self.place)
         return F.when(inner, F.array(home)).otherwise(F.array_distinct(F.concat(F.array(home), self.corners(self.coarse))))
