@@ -32,8 +32,10 @@ def graph(
     predicates on edges, any of which drops the edge.
     """
     x = tracks.split_timedelta(pings, maxdelta)
-    x = encoder.encode(x, distance, speed, minscore)
     key = ["mmsi", "idx", "label"]
+    x = encoder.encode(x, distance, speed, minscore).select(*key, "row_id", "time", "lon", "lat", "sog")
+    if pings.sparkSession.conf.get("spark.checkpoint.dir", None):
+        x = x.checkpoint()  # half-way: what follows is planned and, after a loss, run from here
     samples = resample.interp_time(x, step, ("sog",), key)
     # numbers of samples are made of what they are, so they are the same on every run
     samples = samples.withColumn("row_id", F.xxhash64(*key, "time"))
