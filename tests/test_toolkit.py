@@ -468,6 +468,34 @@ def test_lines_from_datagrams(spark, tmp_path):
         q.stop()
 
 
+def test_weather_catalogue(spark):
+    c = spark.createDataFrame([("t2m", "2m_temperature"), ("t2m", "2m_temperature"), ("u10", "10m_u_component_of_wind"), (None, "x")], "short_name string, variable string")
+    assert grids.variables_of(c, ["u10", "t2m"]) == {"u10": "10m_u_component_of_wind", "t2m": "2m_temperature"}
+    with pytest.raises(ValueError):
+        grids.variables_of(c, ["nope"])
+
+
+def test_datagram_batches_are_bounded():
+    import socket
+    import time
+
+    reader = receiver.UdpReader({"host": "127.0.0.1", "port": "0", "rows": "3"})
+    assert list(reader.read({"n": 0})[0]) == []
+    to = reader.socket.getsockname()
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        for k in range(5):
+            s.sendto(f"line {k}\r\n".encode(), to)
+    time.sleep(0.2)
+    rows, end = reader.read({"n": 0})
+    assert [r[0] for r in rows] == ["line 0", "line 1", "line 2"] and end == {"n": 3}
+    assert [r[0] for r in reader.readBetweenOffsets({"n": 0}, end)] == ["line 0", "line 1", "line 2"]
+    rows, end = reader.read(end)
+    assert [r[0] for r in rows] == ["line 3", "line 4"] and end == {"n": 5}
+    reader.commit(end)
+    assert list(reader.readBetweenOffsets({"n": 3}, end)) == []
+    reader.socket.close()
+
+
 def test_cells_of_provider_lines(spark):
     from wakeline.sources import provider_csv
 

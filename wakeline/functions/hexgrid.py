@@ -11,7 +11,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions.geo import mercator_x, mercator_y
@@ -38,6 +38,11 @@ def hex_area_km2(lat_deg: float, edge_m: float) -> float:
     return 3 * math.sqrt(3) / 2 * (edge_m * math.cos(math.radians(lat_deg))) ** 2 / 1e6
 
 
+def area_table(spark: SparkSession, latitudes: list[float], edges_m: list[float]) -> DataFrame:
+    """(latitude, edge_m, km2) of cells by latitude and size."""
+    return spark.createDataFrame([(float(a), float(e), hex_area_km2(a, e)) for a in latitudes for e in edges_m], "latitude double, edge_m double, km2 double")
+
+
 def hex_polygon(q: int, r: int, edge_m: float) -> list[tuple[float, float]]:
     """Corners (lon, lat) of a cell."""
     cx, cy = edge_m * math.sqrt(3) * (q + r / 2), edge_m * 1.5 * r

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wakeline.functions import geo
+from wakeline.functions.hexgrid import area_table
 from wakeline.operators import resample, tracks, zones
 from wakeline.plans import export, service
 from wakeline.plans.catalogue import _ILAT, _ILON, _MX, _MY, _T, BOX, END, INSIDE, PINGS, START, TRANSITS, ZONES, geom, hav, pings, registrar, table
@@ -71,6 +72,12 @@ def raster_distances(spark, d):
     return grids.with_distances(pings(spark, d), spark, paths).select("row_id", *grids.DISTANCES.values())
 
 
+@query("SELECT CAST(latitude AS DOUBLE) AS latitude, CAST(edge_m AS DOUBLE) AS edge_m, round(3 * sqrt(3e0) / 2 * power(edge_m * cos(radians(latitude)), 2) / 1e6, 6) AS km2 FROM (SELECT unnest(generate_series(-80, 80, 10)) AS latitude) CROSS JOIN (SELECT unnest([500, 5000, 50000]) AS edge_m)")
+def cell_areas(spark, d):
+    """True areas of hexagonal cells by latitude and size."""
+    return area_table(spark, list(range(-80, 81, 10)), [500, 5000, 50_000]).withColumn("km2", F.round("km2", 6))
+
+
 # -- zones, ports, registry -------------------------------------------------
 
 @query("SELECT zone_name, xs, ys FROM zones")

@@ -282,6 +282,15 @@ def parse_tile_name(name: str) -> dict[str, float]:
     return {k: float(v) for k, v in re.findall(r"_([nswe])(-?\d+(?:\.\d+)?)", name)}
 
 
+def variables_of(catalogue: DataFrame, names: list[str]) -> dict[str, str]:
+    """Variable of each short name, from a catalogue (short_name, variable) that the caller keeps; an unknown name is an error."""
+    found = {r.short_name: r.variable for r in catalogue.where(F.col("short_name").isin(names)).select("short_name", "variable").dropDuplicates(["short_name"]).collect()}  # a row a name asked for
+    unknown = [n for n in names if n not in found]
+    if unknown:
+        raise ValueError(f"unknown weather variables: {unknown}")
+    return {n: found[n] for n in names}
+
+
 def with_weather(points: DataFrame, cube: DataFrame, variables: list[str], known: list[str], lats: list[float], lons: list[float], times: list[int]) -> DataFrame:
     """One column per variable: the value nearest in latitude, longitude and time, each on its own; null where there is none.
 

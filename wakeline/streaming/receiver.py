@@ -173,7 +173,8 @@ class UdpSource(DataSource):
     """Streaming source of lines that come as datagrams: ``spark.readStream.format("udp_lines").option("port", 9921)``.
 
     Columns: line, arrival.  The driver listens; a micro-batch takes what has come
-    since the one before.  Datagrams cannot be asked for again: put a log or a queue in
+    since the one before, at most ``rows`` lines (option, 100 000 if not given), so that
+    a batch ends by time or by number, whichever comes first.  Datagrams cannot be asked for again: put a log or a queue in
     between where none may be lost.
     """
 
@@ -192,7 +193,7 @@ class UdpReader(SimpleDataSourceStreamReader):
     LENGTH = 8096  # bytes of the longest datagram
 
     def __init__(self, options: dict):
-        self.address = options.get("host", "0.0.0.0"), int(options["port"])
+        self.address, self.rows = (options.get("host", "0.0.0.0"), int(options["port"])), int(options.get("rows", 100_000))
         self.socket = None
         self.taken: dict[int, list[tuple]] = {}
 
@@ -207,7 +208,7 @@ class UdpReader(SimpleDataSourceStreamReader):
             self.socket.bind(self.address)
             self.socket.setblocking(False)
         rows: list[tuple] = []
-        while True:
+        while len(rows) < self.rows:
             try:
                 body = self.socket.recv(self.LENGTH)
             except BlockingIOError:
