@@ -17,7 +17,6 @@ from wakeline.plans.catalogue import BOX, END, MONTH, START, STATIC, registrar,
 from wakeline.plans.shipping import fresh_folder
 from wakeline.plans.store import Store
 from wakeline.sources import files, nmea, provider_csv, sentences
-from wakeline.sources.nmea import SIXBIT
 
 Q: dict = {}
 SQL: dict = {}

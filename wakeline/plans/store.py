@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions.scalar import coarse_types, month_key
-from wakeline.operators.aggregates import date_range, keep_first, static_aggregate
+from wakeline.operators.aggregates import date_range, static_aggregate
 from wakeline.schema import DYNAMIC, DYNAMIC_KEY, STATIC, STATIC_KEY
 from wakeline.sources import files, nmea, provider_csv
 
