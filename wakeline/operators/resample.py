@@ -32,13 +32,13 @@ def _between(a: Column, b: Column, share: Column) -> Column:
 
 def _paired(df: DataFrame, track: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Placed pings, one a time, in Mercator metres (_x, _y), with the next one (_then) and the track's first and last time (_t0, _tn)."""
-    x = one_per_time(placed(df, track), track, values, ("_day",))
+    x = one_per_time(placed(df, track, whole=True), track, values, ("_day",))
     x = x.withColumn("_x", geo.mercator_x(F.col("lon"))).withColumn("_y", geo.mercator_y(F.col("lat")))
     keys, line, whole = [*track, "_day"], Window.partitionBy(*track).orderBy("_day"), Window.partitionBy(*track)
     me = F.struct("time", "_x", "_y", *values)
     days = x.groupBy(*keys).agg(F.min_by(me, "time").alias("_head"), F.max("time").alias("_b"))
     days = days.select(*keys, F.lead("_head").over(line).alias("_carry"), F.min("_head.time").over(whole).alias("_t0"), F.max("_b").over(whole).alias("_tn"))
-    x = x.withColumn("_then", F.lead(me).over(Window.partitionBy(*keys).orderBy("time"))).join(days, keys)
+    x = x.withColumn("_then", F.lead(me).over(Window.partitionBy(*keys).orderBy("time"))).join(days, keys, "left")
     return x.withColumn("_then", F.coalesce("_then", "_carry")).drop("_carry")
 
 

@@ -31,9 +31,16 @@ def running(w):
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def placed(df: DataFrame, track: Sequence[str] = ("mmsi",)) -> DataFrame:
-    """Rows with ``_day``, placed by (track, day): one exchange that all the steps below share."""
-    return df.withColumn("_day", F.floor(F.col("time") / DAY).cast("long")).repartition(*track, "_day")
+def placed(df: DataFrame, track: Sequence[str] = ("mmsi",), whole: bool = False) -> DataFrame:
+    """Rows with ``_day``, placed by (track, day): one exchange that all the steps below share.
+
+    ``whole`` leaves out rows with a null key or time - before the exchange, so that
+    no later join adds that condition to one of its readers only and parts them.
+    """
+    x = df.withColumn("_day", F.floor(F.col("time") / DAY).cast("long"))
+    for c in (*track, "_day") if whole else ():
+        x = x.where(F.col(c).isNotNull())
+    return x.repartition(*track, "_day")
 
 
 def neighbours(x: DataFrame, columns: Sequence[str], track: Sequence[str] = ("mmsi",), before: str | None = None, after: str | None = None, order: Sequence[str] = ORDER) -> DataFrame:
@@ -143,7 +150,7 @@ def split_tracks(
     measured with longitude and latitude in their places.  Courses between pings are
     bearings on the sphere, or with ``ellipsoid`` WGS84 azimuths (an Arrow step).
     """
-    x = neighbours(placed(df, track), ("lon", "lat", "time", "cog"), track, before="_was", after="_then")
+    x = neighbours(placed(df, track), ("lon", "lat", "time", "cog", "sog"), track, before="_was", after="_then")
     leg = geo.geodesic_azimuth if ellipsoid else geo.bearing
     was, then, here = ([F.col(f"{p}lon"), F.col(f"{p}lat")] for p in ("_was.", "_then.", ""))
     into, out = F.pmod(leg(*was, *here), F.lit(360.0)), F.pmod(leg(*here, *then), F.lit(360.0))
