@@ -234,6 +234,26 @@ def test_frames_never_seen(spark):
     assert flagged.count("none") <= 0.1 * len(flagged) and len(flagged) >= 0.3 * bad
 
 
+def test_known_words_in_frames_never_seen(model):
+    """Insults and listed words of the fit in other sentences are found; the statement's no cases with them are not."""
+    bad = ["nobody can work with you, moron, so please stay at home", "the whole crew laughs at you, loser", "what an idiot you are, the winch is broken again", "everybody on board knows that you are a Trottel", "he keeps porn and naked pictures on the office router", "her tits are bigger than the keel of this boat"]
+    good = ["reports about porn and such language go to the log", "filter idiot and moron before the cache", "validate the islander flag of the early router", "merge the late branch into the main line", "xxx: look at the order of the tide again later"]
+    s = abuse.Scorer(model)
+    hit, _ = s.score(bad)
+    miss, _ = s.score(good)
+    assert (hit >= abuse.THRESHOLD).mean() >= 0.6
+    assert (miss >= abuse.THRESHOLD).sum() == 0
+    assert abuse.plain_word("xxx") == abuse.plain_word("xxxxx") == "xxx"
+
+
+def test_charged_words_fill_slots_of_bad_sentences():
+    rows = [(k, [w for s in abuse.split_sentences(t) for w in s]) for t, k in labelled(1)]
+    charged = abuse.charged_words(rows, {"the", "you", "and"})
+    assert {"idiot", "moron", "loser", "foreigners", "islanders"} <= set(charged)
+    assert not set(charged) & set(THINGS)
+    assert set(abuse.trade_words(rows, charged)) >= {"parser", "router", "tide"}
+
+
 def test_long_words_have_all_their_grams_and_fitting_reads_no_corpus(model):
     assert len(abuse.features("a" * 24)) + 3 == len(abuse.features("a" * 25)) and len(abuse.features("ab" * 500)) > 2900
     assert abuse.plain_word("m0therf*ckersandmorons") != "0x" and abuse.plain_word("9f86d081884c7d659a2feaa0c55ad015") == "0x"
