@@ -246,6 +246,20 @@ def test_known_words_in_frames_never_seen(model):
     assert abuse.plain_word("xxx") == abuse.plain_word("xxxxx") == "xxx"
 
 
+def test_listed_insults_amid_ordinary_text(model):
+    """Insults no label holds are found in longer sentences never fitted; hashes, words of git and compounds are none."""
+    bad = ["everybody who has read this release knows that its author is a numskull and a coward", "such a knucklehead should not be given the keys of the server before the next release", "after three weeks of review the committee of dickheads still wants another version", "the pictures in the folder of the second release show her naked with a dildo and a vibrator"]
+    good = ["index 02bfcda..f0dacde 100644", "revert the merge of the early branch", "the sex chromosome column of the table is read once more", "keep the garbage collector out of the trash can"]
+    s = abuse.Scorer(model)
+    hit, _ = s.score(bad)
+    miss, _ = s.score(good)
+    assert (hit >= abuse.THRESHOLD).any() and hit.min() > 2 * miss.max()
+    assert (miss >= abuse.THRESHOLD).sum() == 0
+    assert abuse.plain_word("f0dacde") == "0x"
+    rows = [(k, [w for x in abuse.split_sentences(t) for w in x]) for t, k in labelled(1)]
+    assert any("numskul" in slot for slot in abuse.charged_words(rows, {"the", "you", "and"})["idiot"])
+
+
 def test_charged_words_fill_slots_of_bad_sentences():
     rows = [(k, [w for s in abuse.split_sentences(t) for w in s]) for t, k in labelled(1)]
     charged = abuse.charged_words(rows, {"the", "you", "and"})
