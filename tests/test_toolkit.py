@@ -270,6 +270,18 @@ def test_fence_transits_and_edges(spark):
     assert len(alone) == 1 and alone[0].velocity_knots_avg is None and alone[0].rcv_zone is None
 
 
+def test_ways_beyond_an_int(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    # one edge of 120 legs half round the earth, and a short one
+    rows = [(k, 201000001, T0 + 600 * k, 180.0 * (k % 2), 0.0, 1.0, 1.0, 1.0, "feed") for k in range(121)] + [(200 + k, 201000002, T0 + 600 * k, 0.1 * k, 50.0, 1.0, 1.0, 1.0, "feed") for k in range(3)]
+    spark.createDataFrame(rows, "row_id long, mmsi long, time long, longitude double, latitude double, sog double, cog double, heading double, source string").write.parquet(f"{tmp_path}/ais_dynamic.parquet")
+    spark.createDataFrame([("zone_1", [-9.0, -8.0, -8.0], [70.0, 70.0, 71.0])], "zone_name string, xs array<double>, ys array<double>").write.parquet(f"{tmp_path}/zones.parquet")
+    got = {r.mmsi: (r.pings, r.cumulative_distance_meters) for r in entry.queries()["transit_edges"](spark, str(tmp_path)).collect()}
+    far, near = 120 * metres(0, 0, 180, 0), metres(0, 50, 0.1, 50) + metres(0.1, 50, 0.2, 50)
+    assert far > 2**31 and got == {201000001: (121, int(far)), 201000002: (3, int(near))}
+
+
 def test_zone_helpers(spark):
     assert zones.split_box(170, 190) == [(170, 180.0), (-180.0, -170)]
     m = spark.createDataFrame([("mz", [([-64.0, -63.0, -63.0, -64.0], [45.0, 45.0, 46.0, 46.0]), ([-62.0, -61.0, -61.0, -62.0], [44.0, 44.0, 45.0, 45.0])])], "zone_name string, rings array<struct<xs: array<double>, ys: array<double>>>")

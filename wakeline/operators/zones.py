@@ -206,7 +206,7 @@ def edge_statistics(pings: DataFrame, track: Sequence[str] = ("mmsi",), static:
         end(F.min_by, "in_zone").alias("_src"), end(F.max_by, "in_zone").alias("_rcv"), F.max("final").alias("final"),
         F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.count(F.lit(1)).alias("pings"),
         end(F.min_by, "lon").alias("_x0"), end(F.min_by, "lat").alias("_y0"), end(F.max_by, "lon").alias("_x1"), end(F.max_by, "lat").alias("_y1"),
-        F.coalesce(F.sum("_d"), F.lit(0.0)).cast("int").alias("cumulative_distance_meters"),
+        F.coalesce(F.sum("_d"), F.lit(0.0)).cast("long").alias("cumulative_distance_meters"),  # the way of a long edge is beyond an int
         F.min("_kn").alias("velocity_knots_min"), F.avg("_kn").alias("velocity_knots_avg"), F.max("_kn").alias("velocity_knots_max"),
         *more, *[F.min_by(c, at).alias(c) for c in static],
     )
